@@ -242,11 +242,12 @@ def char_ngrams(c: Column, low: int = 3, high: int = 5) -> Column:
     """Character n-grams of the padded text that are not mostly blank."""
     p = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9\s]", " "), r"\s+", " ")), F.lit(" "))
 
-    def grams(n: int) -> Column:
-        starts = F.when(F.length(p) >= n, F.sequence(F.lit(1), F.length(p) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.filter(F.transform(starts, lambda i: F.substring(p, i, F.lit(n))), lambda g: F.length(F.trim(g)) >= max(2, n - 1))
+    def grams(q: Column, n: int) -> Column:
+        starts = F.when(F.length(q) >= n, F.sequence(F.lit(1), F.length(q) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.filter(F.transform(starts, lambda i: F.substring(q, i, F.lit(n))), lambda g: F.length(F.trim(g)) >= max(2, n - 1))
 
-    return F.concat(*[grams(n) for n in range(low, high + 1)])
+    # bound to a variable, the padded text is made once and not once per n-gram
+    return F.flatten(F.transform(F.array(p), lambda q: F.concat(*[grams(q, n) for n in range(low, high + 1)])))
 
 
 def highlight(c: Column, terms: list[str]) -> Column:

@@ -36,13 +36,15 @@ def normalize_paragraphs(raw: DataFrame) -> DataFrame:
 
 
 def unnest_paragraphs(cases: DataFrame, paragraphs: str = "paragraphs") -> DataFrame:
-    """Rows of a nested array of paragraphs; a case with none gives none. Positions count all entries, local_idx the kept ones."""
-    rows = cases.select("case_ord", "case_id", F.posexplode(paragraphs).alias("pos", "p"))
-    rows = rows.select(
-        "case_ord", "case_id", "pos", F.coalesce(F.col("p.para_idx").cast("string").try_cast("int"), F.col("pos")).alias("para_idx"),
-        X.section_key(F.col("p.section")).alias("section"), X.strip(F.col("p.text")).alias("text"),
-    ).filter((F.col("text") != "") & (F.col("section") != "header"))
-    return rows.withColumn("local_idx", F.row_number().over(Window.partitionBy("case_ord").orderBy("pos")) - 1).drop("pos")
+    """Rows of a nested array of paragraphs; a case with none gives none. Works on streams, too.
+
+    para_idx is the given number or the position among all entries, local_idx the position among the kept ones.
+    """
+    entry = lambda p, i: F.struct(
+        F.coalesce(p["para_idx"].cast("string").try_cast("int"), i).alias("para_idx"), X.section_key(p["section"]).alias("section"), X.strip(p["text"]).alias("text")
+    )
+    kept = F.filter(F.transform(paragraphs, entry), lambda p: (p["text"] != "") & (p["section"] != "header"))
+    return cases.select("case_ord", "case_id", F.posexplode(kept).alias("local_idx", "p")).select("case_ord", "case_id", "local_idx", "p.para_idx", "p.section", "p.text")
 
 
 def unique_ids(cases: DataFrame, case_id: str = "case_id", order: str = "case_ord") -> DataFrame:

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assize.queries import general
+from assize.queries import decisions, general
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in general.QUERIES}
+    return decisions.QUERIES | {f.__name__: f for f in general.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(general.SQL)
+    return decisions.SQL | general.SQL
