@@ -41,12 +41,16 @@ def window_hashes(docs: list[list[int]], size: int) -> tuple[np.ndarray, np.ndar
     return value, np.repeat(owner, count), at - np.repeat(begins, count)
 
 
-def band_values(docs: list[list[int]], size: int, bands: int, rows: int) -> list[list[int] | None]:
-    """One signed 64-bit value per band for each document, None for a document without words."""
+def band_values(docs: list[list[int]], size: int, bands: int, rows: int) -> tuple[list[list[int] | None], list[int]]:
+    """One signed 64-bit value per band for each document, None for a document without words; and its number of distinct shingles."""
     value, owner, _ = window_hashes(docs, size)
     out: list[list[int] | None] = [None] * len(docs)
     if not len(value):
-        return out
+        return out, [0] * len(docs)
+    order = np.lexsort((value, owner))
+    v, o = value[order], owner[order]
+    new = np.concatenate(([True], (v[1:] != v[:-1]) | (o[1:] != o[:-1])))
+    sizes = np.bincount(o[new], minlength=len(docs)).tolist()
     first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
     steps = np.random.default_rng(20240229).integers(1, 2**63, size=(bands * rows, 2), dtype=np.uint64)
     lows = []
@@ -64,11 +68,14 @@ def band_values(docs: list[list[int]], size: int, bands: int, rows: int) -> list
     table = np.stack(signed, axis=1).tolist()
     for doc, row in zip(owner[first].tolist(), table):
         out[doc] = row
-    return out
+    return out, sizes
 
 
-def jaccard(a: list[str], b: list[str], size: int) -> float:
-    """Similarity of the sets of ``size``-word shingles; texts of fewer words count as one shingle."""
-    one = {tuple(a[i : i + size]) for i in range(max(1, len(a) - size + 1))}
-    two = {tuple(b[i : i + size]) for i in range(max(1, len(b) - size + 1))}
-    return len(one & two) / len(one | two)
+def shingles(words: list[str], size: int) -> set[tuple[str, ...]]:
+    """The set of ``size``-word shingles; a text of fewer words is one shingle."""
+    return set(zip(*[words[i:] for i in range(size)])) if len(words) >= size else {tuple(words)}
+
+
+def jaccard(one: set, two: set) -> float:
+    both = len(one & two)
+    return both / (len(one) + len(two) - both)
