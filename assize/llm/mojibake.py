@@ -42,6 +42,8 @@ LOSSY = ["cp1252", "cp1250", "cp1251", "cp1254", "koi8-r", "iso8859-16", "mac_ro
 #: Most distinct characters of a corpus whose forms are broadcast: all of Unicode that is assigned.
 MAX_CHARACTERS = 160_000
 MAX_SIDE = 200_000
+#: Most distinct pairs of characters that are broadcast to leave out impossible forms early; beyond, all forms are joined.
+MAX_PAIRS = 200_000
 #: Words of one chain of the third kind that a document needs, and how much more frequent originals must be.
 LEAST_WORDS, TIMES = 2, 3
 
@@ -111,28 +113,61 @@ def looks_clean(word: str) -> bool:
 
 
 _FORMS = T.StructType([T.StructField(n, T.StringType()) for n in ("form", "original", "chain")] + [T.StructField("original_docs", T.LongType())])
+_NEVER = "\uffff"
 
 
-def _make_forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        out = []
-        for word, n in zip(b["word"], b["docs"]):
-            if not looks_clean(word):
-                continue
-            seen = set()
-            for chain in CHAINS:
-                form = garble(word, chain)
-                if form is None or form == word:
+class _Table(dict):
+    """What a chain makes of single characters; all chains but the lossy ones work character by character."""
+
+    def __init__(self, chain: str, alphabet: frozenset[str]):
+        super().__init__()
+        self.chain, self.alphabet = chain, alphabet
+
+    def __missing__(self, code: int) -> str:
+        form = chr(code) if code < 128 else garble(chr(code), self.chain)
+        if form is None or any(c > "\x7f" and c not in self.alphabet for c in form):
+            form = _NEVER  # no word of the corpus can hold this
+        self[code] = form
+        return form
+
+
+class FormMaker:
+    """Garbled forms of words, as far as a corpus with these characters and pairs of characters can hold them."""
+
+    def __init__(self, alphabet: list[str], pairs: list[str] | None):
+        self.alphabet, self.pairs = frozenset(alphabet), None if pairs is None else frozenset(pairs)
+
+    def possible(self, form: str) -> bool:
+        return self.pairs is None or all(form[i : i + 2] in self.pairs for i in range(len(form) - 1) if form[i] > "\x7f" or form[i + 1] > "\x7f")
+
+    def run(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables = {c: _Table(c, self.alphabet) for c, (kind, _) in CHAINS.items() if kind != "lossy"}
+        for b in batches:
+            out = []
+            for word, n in zip(b["word"], b["docs"]):
+                if not looks_clean(word):
                     continue
-                form = _STRIP.sub("", form)
-                key = (form, chain[:5])
-                if form and not form.isascii() and key not in seen:
-                    seen.add(key)
-                    out.append((form, word, chain, n))
+                seen = set()
+                for chain in CHAINS:
+                    table = tables.get(chain)
+                    form = garble(word, chain) if table is None else word.translate(table)
+                    if form is None or form == word or _NEVER in form:
+                        continue
+                    form = _STRIP.sub("", form)
+                    key = (form, chain[:5])
+                    if form and not form.isascii() and key not in seen and self.possible(form):
+                        seen.add(key)
+                        out.append((form, word, chain, n))
                 if len(out) >= 20_000:
                     yield pd.DataFrame(out, columns=_FORMS.names)
                     out = []
-        yield pd.DataFrame(out, columns=_FORMS.names)
+            yield pd.DataFrame(out, columns=_FORMS.names)
+
+
+def _pairs_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        found = {w[i : i + 2] for w in b["word"] for i in range(len(w) - 1) if w[i] > "\x7f" or w[i + 1] > "\x7f"}
+        yield pd.DataFrame({"pair": sorted(found)})
 
 
 class CharacterForms:
@@ -193,23 +228,29 @@ class Mojibake:
         self.words = materialize(self.pairs.groupBy("word").agg(F.count("*").alias("docs")).filter("word <> ''"), "words")
         self._evidence: DataFrame | None = None
 
-    def characters(self) -> list[str]:
-        """The distinct non-ASCII characters of clean words, at most as many as Unicode has."""
-        clean = self.words.filter(F.col("word").rlike(r"^[“”„‘’«»‹›\-–—(]*[\p{L}\p{M}'’\-–]+[“”„‘’«»‹›\-–—…)]*$") | (F.length("word") == 1) | F.col("word").rlike(r"^[\x00-\x7F]*[^\x00-\x7F][\x00-\x7F]*$"))
-        rows = clean.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c")).distinct().filter("c > '\x7f' and c <> '�'").limit(MAX_CHARACTERS).collect()
+    def alphabet(self) -> list[str]:
+        """The distinct non-ASCII characters of the corpus, at most as many as Unicode has."""
+        rows = self.words.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c")).filter("c > '\x7f'").distinct().limit(MAX_CHARACTERS).collect()
         return sorted(r.c for r in rows)
 
+    def pairs_of_characters(self) -> list[str] | None:
+        """The distinct pairs with a non-ASCII character; None if there are more than MAX_PAIRS."""
+        rows = self.words.select("word").mapInPandas(_pairs_of, "pair string").distinct().head(MAX_PAIRS + 1)
+        return None if len(rows) > MAX_PAIRS else [r.pair for r in rows]
+
     def evidence(self) -> DataFrame:
         """(word, original, chain): every word of the corpus that is a garbled form."""
         if self._evidence is None:
             n = int(self.words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            forms = self.words.repartition(n, "word").mapInPandas(_make_forms, _FORMS)
+            alphabet = self.alphabet()
+            maker = FormMaker(alphabet, self.pairs_of_characters())
+            forms = self.words.repartition(n, "word").mapInPandas(maker.run, _FORMS)
             joined = self.words.join(forms, F.col("word") == F.col("form"))
             single = F.col("chain").startswith("single:")
             joined = joined.filter(~single | (F.col("original_docs") >= TIMES * F.col("docs")))
             by_word = joined.groupBy("word", F.substring("chain", 1, 5).alias("kind")).agg(F.max_by(F.struct("original", "chain"), F.struct("original_docs", "original", "chain")).alias("b"))
             by_word = by_word.select("word", "b.*")
-            shared = self.words.sparkSession.sparkContext.broadcast(CharacterForms(self.characters()))
+            shared = self.words.sparkSession.sparkContext.broadcast(CharacterForms([c for c in alphabet if c != "�"]))
 
             def by_character(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for b in batches:
