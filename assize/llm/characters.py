@@ -97,8 +97,13 @@ def inconsistent(value: str) -> bool:
 
 def comparison_key(value: str) -> str:
     """Compatibility form, full case folding, composed, blanks levelled: equal for texts that look alike."""
-    x = unicodedata.normalize("NFKC", consistent(value)).casefold()
-    return " ".join(unicodedata.normalize("NFKC", x).split())
+    x = consistent(value)  # before folding, as capitals and small letters look like different ones
+    for _ in range(4):  # folding may open a further step
+        y = consistent(unicodedata.normalize("NFKC", x).casefold())
+        if y == x:
+            break
+        x = y
+    return " ".join(x.split())
 
 
 def _per_distinct(fn, kind: T.DataType):
