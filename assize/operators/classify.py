@@ -202,3 +202,47 @@ def valid_assignments(a: DataFrame, docs: DataFrame, labels: list[str]) -> DataF
 def default_sections(present: list[str]) -> list[str]:
     both = [s for s in ("merits", "admissibility") if s in present]
     return both or sorted(present)
+
+
+# --- saved progress
+
+
+def progress(a: DataFrame, model: Model | None, dataset_key: str, labels: list[str], sections: dict[str, list[str]], sample_keys: list[int], cursor: int, saved_at: str) -> dict:
+    """Labels, assignments and model as one dictionary. Assignments are made by hand and their predictions; both are of a size that a person handles."""
+    out = {
+        "version": 1, "datasetKey": dataset_key, "labels": labels, "trainingSections": sections.get("training", []), "predictionSections": sections.get("prediction", []),
+        "sampleKeys": sample_keys, "sampleCursor": cursor, "method": model.method if model else "tfidf_centroid", "threshold": model.threshold if model else THRESHOLDS["tfidf_centroid"], "savedAt": saved_at,
+        "assignments": [{"key": r.doc, "manual": r.manual, "predicted": r.predicted, "excluded": r.excluded} for r in a.orderBy("doc").toLocalIterator()], "model": None,
+    }
+    if model:
+        vectors: dict[str, dict[str, float]] = {}
+        for r in model.vectors.toLocalIterator():
+            vectors.setdefault(r.label, {})[r.token] = r["weight" if model.method == "keyword_overlap" else "w"]
+        out["model"] = {"method": model.method, "trainingSize": model.examples, "idf": {r.token: r.idf for r in model.idf.toLocalIterator()}, "vectors": vectors}
+    return out
+
+
+def distinct_labels(labels: list) -> list[str]:
+    """Labels with white space levelled; of those that differ in case only the first stays, blanks go."""
+    seen: dict[str, str] = {}
+    for x in labels:
+        name = " ".join(str(x).split())
+        if name:
+            seen.setdefault(name.lower(), name)
+    return list(seen.values())
+
+
+def restore(payload: dict, docs: DataFrame) -> tuple[list[str], DataFrame, list[int], int]:
+    """Labels, assignments, sample keys and cursor of saved progress, cut to known documents and labels."""
+    spark = docs.sparkSession
+    if payload.get("version") != 1:
+        raise ValueError("unknown version of saved progress")
+    labels = distinct_labels(payload.get("labels") or [])
+    saved = payload.get("assignments") or []
+    saved = [{"key": k, **v} for k, v in saved.items()] if isinstance(saved, dict) else saved
+    rows = [(int(x["key"]), distinct_labels(x.get("manual") or []), distinct_labels(x.get("predicted") or []), bool(x.get("excluded"))) for x in saved]
+    assignments = valid_assignments(spark.createDataFrame(rows, ASSIGNMENTS), docs, labels)
+    keys = [int(k) for k in payload.get("sampleKeys") or []]
+    known = {r.doc for r in docs.join(spark.createDataFrame([(k,) for k in keys], "doc long"), "doc", "left_semi").select("doc").collect()}  # at most as many as sample keys
+    keys = [k for k in keys if k in known]
+    return labels, assignments, keys, max(0, min(int(payload.get("sampleCursor") or 0), len(keys) - 1)) if keys else 0

@@ -11,10 +11,31 @@ from assize.functions import text as X
 from assize.runtime import table
 
 
+#: Raw fields of which only the presence is kept.
+PRESENCE_FIELDS = ("domestic_law", "international_law", "rules_of_court")
+
+
+def numbered(df: DataFrame, group: str, order: list[str], out: str, chunk: int = 4096) -> DataFrame:
+    """Row numbers from 1 within each group in the given order, of which ``order[0]`` is a whole number.
+
+    Rows are numbered within chunks of ``order[0]``, and the sizes of the chunks before are added, so that a
+    group of any size is spread over many tasks. A null position comes first.
+    """
+    rows = df.withColumn("__chunk", F.coalesce(F.floor(F.col(order[0]) / chunk), F.lit(-(2**60))))
+    sizes = rows.groupBy(group, "__chunk").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(group).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(F.col(group).alias("__group"), F.col("__chunk").alias("__c"), before.alias("__before"))
+    local = F.row_number().over(Window.partitionBy(group, "__chunk").orderBy(*order))
+    rows = rows.withColumn("__local", local).join(sizes, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__chunk") == F.col("__c")))
+    return rows.withColumn(out, F.col("__before") + F.col("__local")).drop("__chunk", "__local", "__group", "__c", "__before")
+
+
 def normalize_cases(raw: DataFrame) -> DataFrame:
     """One row per raw case, in the types of the model. Extra columns are left out; nulls become defaults or stay null."""
     defendants, doc_types = X.list_of(F.col("defendants")), X.list_of(F.col("document_type"))
     violation, non_violation = X.clean_list(F.col("violation")), X.clean_list(F.col("non_violation"))
+    have = {c.lower() for c in raw.columns}
+    presence = {f"has_{f}": X.is_present(F.col(f), "string") & ~F.lower(F.trim(f)).isin("false", "[]") if f in have else F.lit(False) for f in PRESENCE_FIELDS}
     out = raw.select(
         "case_ord", "case_id", "case_no", "title", X.parse_date(F.col("judgment_date")).alias("date"),
         X.states_of(F.col("respondent_state"), defendants).alias("states"), defendants.alias("codes"),
@@ -23,7 +44,7 @@ def normalize_cases(raw: DataFrame) -> DataFrame:
         X.or_default(F.col("importance"), "Unspecified").alias("importance"), X.truthy(F.col("separate_opinion")).alias("separate_opinion"),
         violation.alias("violation"), non_violation.alias("non_violation"), X.outcome_of(violation, non_violation).alias("outcome"),
         *[c.alias(n) for n, c in X.conclusion_flags(F.col("conclusion")).items()], X.inadmissibility_grounds(F.col("conclusion")).alias("grounds"),
-        "ecli", "hudoc_url", "source_file", X.clean_list(F.col("court_assessment_references.case_references")).alias("references"),
+        *[c.alias(n) for n, c in presence.items()], "ecli", "hudoc_url", "source_file", X.clean_list(F.col("court_assessment_references.case_references")).alias("references"),
     )
     return out.withColumn("is_key", F.lower("importance") == "key cases")
 
@@ -54,9 +75,7 @@ def unique_ids(cases: DataFrame, case_id: str = "case_id", order: str = "case_or
     """
     base = F.coalesce(F.when(F.trim(case_id) != "", F.col(case_id)), F.concat(F.lit("case-"), F.col(order).cast("string")))
     rows = cases.withColumn("__base", base)
-    # later copies of an id are few: their numbers need the ids' rows only, spread by id
-    n = F.row_number().over(Window.partitionBy("__base").orderBy(order))
-    rows = rows.withColumn("__n", n).withColumn("__made", F.when(F.col("__n") == 1, F.col("__base")).otherwise(F.concat_ws("-", "__base", F.col("__n").cast("string"))))
+    rows = numbered(rows, "__base", [order], "__n").withColumn("__made", F.when(F.col("__n") == 1, F.col("__base")).otherwise(F.concat_ws("-", "__base", F.col("__n").cast("string"))))
     existing = cases.select(F.col(case_id).alias("__id")).filter("__id is not null").distinct()
     clash = rows.filter("__n > 1").join(existing, F.col("__made") == F.col("__id")).select(F.col(order).alias("__clash"))
     rows = rows.join(clash, F.col(order) == F.col("__clash"), "left")
@@ -94,6 +113,23 @@ class Corpus:
             items("citations", "citation", X.squeeze(F.col("citation"))),
         )
 
+    @classmethod
+    def from_records(cls, records: DataFrame) -> Corpus:
+        """From whole JSON records with ``line_order``: lists become tables, of citations that fold alike a case keeps the first."""
+        raw = records.withColumnRenamed("line_order", "case_ord").withColumnRenamed("non-violation", "non_violation").withColumn("source_file", F.lit(None).cast("string"))
+        raw = unique_ids(raw).withColumn("case_id", F.col("unique_id")).drop("unique_id")
+
+        def items(values: Column) -> DataFrame:
+            return raw.select("case_ord", "case_id", F.posexplode(values).alias("pos", "value"))
+
+        return cls(
+            normalize_cases(raw),
+            unnest_paragraphs(raw).withColumn("para_id", F.xxhash64("case_ord", "local_idx")),
+            items(X.list_of(F.col("keywords"))),
+            items(X.list_of(F.col("chamber_composed_of"))),
+            items(X.citation_distinct(X.list_of(F.col("strasbourg_caselaw"), "[;\n]", distinct=False))),
+        )
+
     def dataset_key(self) -> str:
         """A short name for saved states: made of the number of cases and of the first and last eight."""
         counts = self.paragraphs.groupBy("case_ord").agg(F.count("*").alias("n"))

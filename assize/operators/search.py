@@ -99,6 +99,9 @@ def matching_cases(corpus: Corpus, f: Filters, meta: dict[str, tuple[str, ...]]
         cases = cases.join(joined.select("case_ord"), "case_ord", "left_semi")
     if f.precedent:
         cases = cases.join(corpus.citations.filter(_contains(F.col("value"), fold_term(f.precedent))).select("case_ord"), "case_ord", "left_semi")
+    for name in f.present:
+        if name != "strasbourg_caselaw":
+            cases = cases.filter(F.col(f"has_{name}"))
     if "strasbourg_caselaw" in f.present:
         cases = cases.join(corpus.citations.select("case_ord"), "case_ord", "left_semi")
     return cases

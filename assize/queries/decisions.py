@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assize.functions import text as X
@@ -13,7 +13,7 @@ from assize.operators import classify as C
 from assize.operators import search as S
 from assize.operators import statistics as A
 from assize.operators import structure as M
-from assize.operators.corpus import Corpus, latest_rows, unique_ids
+from assize.operators.corpus import Corpus, latest_rows, numbered, unique_ids
 from assize.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -212,7 +212,7 @@ add("dedup_keep_first", lambda c: c.citations.groupBy("case_ord").agg(F.array_so
     f"SELECT case_ord, value AS citation FROM ci QUALIFY row_number() OVER (PARTITION BY case_ord, {_fold('value')} ORDER BY pos, value) = 1")
 add("latest_paragraphs", lambda s, d: latest_rows(table(s, d, "paragraphs"), ["case_ord", "local_idx"], "loaded_at", "para_id").select("case_ord", "local_idx", "para_id"),
     "SELECT case_ord, local_idx, para_id FROM paragraphs QUALIFY row_number() OVER (PARTITION BY case_ord, local_idx ORDER BY loaded_at DESC, para_id DESC) = 1", raw=True)
-add("para_numbering", lambda c: c.paragraphs.select("para_id", (F.row_number().over(Window.partitionBy("case_ord").orderBy("local_idx", "para_id")) - 1).alias("number")), "SELECT para_id, (row_number() OVER (PARTITION BY case_ord ORDER BY local_idx, para_id) - 1)::INT AS number FROM p")
+add("para_numbering", lambda c: numbered(c.paragraphs, "case_ord", ["local_idx", "para_id"], "n").select("para_id", (F.col("n") - 1).alias("number")), "SELECT para_id, (row_number() OVER (PARTITION BY case_ord ORDER BY local_idx, para_id) - 1)AS number FROM p")
 add("char_ngrams", lambda c: c.keywords.select(F.explode(X.char_ngrams(F.col("value"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")),
     r""", pad AS (SELECT ' ' || trim(regexp_replace(regexp_replace(lower(value), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) || ' ' AS t FROM kw), g AS (SELECT t, unnest([3, 4, 5]) AS n FROM pad),
     s AS (SELECT n, substring(t, unnest(generate_series(1, length(t) - n + 1))::INT, n) AS gram FROM g WHERE length(t) >= n) SELECT gram, count(*) AS n FROM s WHERE length(trim(gram)) >= greatest(2, s.n - 1) GROUP BY gram""")

@@ -26,13 +26,25 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{scratch_root(spark)}/assize-{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the tables that this application has written; frames that read them can be used no more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage and lets several consumers share one computation; the files outlive any executor.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

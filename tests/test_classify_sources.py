@@ -118,3 +118,37 @@ def test_stream(spark, tmp_path):
     q = ingest.stream_section_counts(rows).writeStream.format("memory").queryName("sections").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("sections").first().n == 1
+
+
+def test_cli_and_records(spark, tmp_path):
+    from assize import cli
+    from assize.operators import search as S
+    from assize.operators.corpus import Corpus
+
+    rows = [
+        {"case_id": "a", "title": "A v. B", "judgment_date": "03/04/2020", "keywords": "x; y", "strasbourg_caselaw": ["P  v. Q", "p v. q", "R v. S"], "chamber_composed_of": ["Ana"], "violation": ["6"], "domestic_law": "Act", "rules_of_court": False, "originating_body": ["Section 1"], "paragraphs": [{"section": "Merits", "text": "The court"}]},
+        {"case_id": "a", "non-violation": ["8"], "domestic_law": [], "paragraphs": None},
+    ]
+    p = tmp_path / "in.jsonl"
+    p.write_text("\n".join(map(json.dumps, rows)) + "\n{broken\n")
+    got = cli.run(spark, cli.arguments(["--input", str(p), "--output", str(tmp_path / "s.json"), "--sample-output", str(tmp_path / "sample"), "--sample-size", "1", "--export-data", str(tmp_path / "copy"), "--report"]))
+    assert got["summary"]["total_cases"] == 2 and got["summary"]["invalid_lines"] == 1 and got["summary"]["avg_citations"] == 1.0
+    assert json.loads((tmp_path / "s.json").read_text())["summary"] == got["summary"]
+    records, _ = jsonl.read_tolerant(spark, str(p))
+    c = Corpus.from_records(records)
+    assert {r.case_id for r in c.cases.collect()} == {"a", "a-2"}
+    assert [r.case_id for r in S.search(c, "", S.Filters(present=("domestic_law",))).collect()] == ["a"]
+    assert S.search(c, "", S.Filters(present=("rules_of_court",))).count() == 0
+    assert S.search(c, "keyword:y court").count() == 1 and len(c.dataset_key()) > 3
+
+
+def test_progress_round_trip(spark, data):
+    docs, labels = data
+    a = C.toggle_label(C.no_assignments(spark), docs.filter("doc < 3"), "x")
+    saved = json.loads(json.dumps(C.progress(a, C.train(docs, labels), "k", ["x", " X ", "y", ""], {}, [1, 99, 2], 7, "now")))
+    names, back, keys, cursor = C.restore(saved, docs)
+    assert names == ["x", "y"] and keys == [1, 2] and cursor == 1
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, a.collect()))
+    assert saved["model"]["vectors"].keys() == {"x", "y"}
+    with pytest.raises(ValueError):
+        C.restore({"version": 2}, docs)
