@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assize.runtime import materialize, scratch_root
+from assize.runtime import materialize, scratch_folder
 
 #: English names of months (fixed values).
 MONTHS = "january february march april may june july august september october november december".split()
@@ -57,7 +57,7 @@ class Ledger:
 
     def __init__(self, spark: SparkSession, buckets: int = 64):
         self.spark, self.buckets = spark, buckets
-        self.root = f"{scratch_root(spark)}/ledger-{uuid.uuid4().hex}"
+        self.root = f"{scratch_folder(spark)}/ledger-{uuid.uuid4().hex}"
         self.parts: dict[int, str] = {}
         self.versions = 0
 

@@ -113,45 +113,53 @@ def looks_clean(word: str) -> bool:
 
 
 _FORMS = T.StructType([T.StructField(n, T.StringType()) for n in ("form", "original", "chain")] + [T.StructField("original_docs", T.LongType())])
-_NEVER = "\uffff"
-
-
-class _Table(dict):
-    """What a chain makes of single characters; all chains but the lossy ones work character by character."""
-
-    def __init__(self, chain: str, alphabet: frozenset[str]):
-        super().__init__()
-        self.chain, self.alphabet = chain, alphabet
-
-    def __missing__(self, code: int) -> str:
-        form = chr(code) if code < 128 else garble(chr(code), self.chain)
-        if form is None or any(c > "\x7f" and c not in self.alphabet for c in form):
-            form = _NEVER  # no word of the corpus can hold this
-        self[code] = form
-        return form
 
 
 class FormMaker:
-    """Garbled forms of words, as far as a corpus with these characters and pairs of characters can hold them."""
+    """Garbled forms of words, as far as a corpus with these characters and pairs of characters can hold them.
+
+    All chains but the lossy ones work character by character. For each character the chains are kept whose form the
+    corpus can hold; a word needs trying only the chains that all of its characters allow.
+    """
 
     def __init__(self, alphabet: list[str], pairs: list[str] | None):
         self.alphabet, self.pairs = frozenset(alphabet), None if pairs is None else frozenset(pairs)
+        self.names = [c for c, (kind, _) in CHAINS.items() if kind != "lossy" or "�" in self.alphabet]
+        self.lossy = sum(1 << i for i, c in enumerate(self.names) if CHAINS[c][0] == "lossy")
 
     def possible(self, form: str) -> bool:
         return self.pairs is None or all(form[i : i + 2] in self.pairs for i in range(len(form) - 1) if form[i] > "\x7f" or form[i + 1] > "\x7f")
 
     def run(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = {c: _Table(c, self.alphabet) for c, (kind, _) in CHAINS.items() if kind != "lossy"}
+        tables: list[dict[int, str]] = [{} for _ in self.names]
+        masks: dict[str, int] = {}
+
+        def mask(ch: str) -> int:
+            bits = self.lossy
+            for i, chain in enumerate(self.names):
+                if not bits >> i & 1:
+                    form = garble(ch, chain)
+                    if form is not None and all(c <= "\x7f" or c in self.alphabet for c in form) and self.possible(form):
+                        tables[i][ord(ch)] = form
+                        bits |= 1 << i
+            masks[ch] = bits
+            return bits
+
         for b in batches:
             out = []
             for word, n in zip(b["word"], b["docs"]):
-                if not looks_clean(word):
+                bits = -1
+                for ch in word:
+                    if ch > "\x7f":
+                        bits &= masks[ch] if ch in masks else mask(ch)
+                if not bits or not looks_clean(word):
                     continue
                 seen = set()
-                for chain in CHAINS:
-                    table = tables.get(chain)
-                    form = garble(word, chain) if table is None else word.translate(table)
-                    if form is None or form == word or _NEVER in form:
+                for i, chain in enumerate(self.names):
+                    if not bits >> i & 1:
+                        continue
+                    form = garble(word, chain) if self.lossy >> i & 1 else word.translate(tables[i])
+                    if form is None or form == word:
                         continue
                     form = _STRIP.sub("", form)
                     key = (form, chain[:5])
@@ -248,8 +256,11 @@ class Mojibake:
             joined = self.words.join(forms, F.col("word") == F.col("form"))
             single = F.col("chain").startswith("single:")
             joined = joined.filter(~single | (F.col("original_docs") >= TIMES * F.col("docs")))
-            by_word = joined.groupBy("word", F.substring("chain", 1, 5).alias("kind")).agg(F.max_by(F.struct("original", "chain"), F.struct("original_docs", "original", "chain")).alias("b"))
-            by_word = by_word.select("word", "b.*")
+            kinds = joined.groupBy("word", F.substring("chain", 1, 5).alias("kind"))
+            by_word = kinds.agg(F.max_by(F.struct("original", "chain"), F.struct("original_docs", "original", "chain")).alias("b"), F.min("original").alias("low"), F.max("original").alias("high"))
+            # where characters were lost, only the one word that fits is restored
+            unclear = (F.col("kind") == "lossy") & (F.col("low") != F.col("high"))
+            by_word = by_word.select("word", F.when(unclear, F.col("word")).otherwise(F.col("b.original")).alias("original"), "b.chain")
             shared = self.words.sparkSession.sparkContext.broadcast(CharacterForms([c for c in alphabet if c != "�"]))
 
             def by_character(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -258,7 +269,8 @@ class Mojibake:
                     yield pd.DataFrame(made, columns=_EVIDENCE.names)
 
             multi = by_word.filter(~F.col("chain").startswith("single:"))
-            rest = self.words.select("word").mapInPandas(by_character, _EVIDENCE)
+            # the forms have two characters and more; a run of one is no form, only a replacement character
+            rest = self.words.select("word").filter(F.col("word").rlike("[^\\x00-\\x7F]{2}|\ufffd")).mapInPandas(by_character, _EVIDENCE)
             # verified words come first; characters fill in what no word explains
             both = multi.withColumn("rank", F.lit(0)).unionByName(rest.withColumn("rank", F.lit(1)))
             best = both.groupBy("word").agg(F.min_by(F.struct("original", "chain"), F.struct("rank", "chain")).alias("b")).select("word", "b.*")
