@@ -42,7 +42,7 @@ LOSSY = ["cp1252", "cp1250", "cp1251", "cp1254", "koi8-r", "iso8859-16", "mac_ro
 #: Most distinct characters of a corpus whose forms are broadcast: all of Unicode that is assigned.
 MAX_CHARACTERS = 160_000
 MAX_SIDE = 200_000
-#: Most distinct pairs of characters that are broadcast to leave out impossible forms early; beyond, all forms are joined.
+#: Most distinct pairs of characters, and words with lost characters, that are broadcast to leave out impossible forms early; beyond, all forms are joined.
 MAX_PAIRS = 200_000
 #: Words of one chain of the third kind that a document needs, and how much more frequent originals must be.
 LEAST_WORDS, TIMES = 2, 3
@@ -122,8 +122,9 @@ class FormMaker:
     corpus can hold; a word needs trying only the chains that all of its characters allow.
     """
 
-    def __init__(self, alphabet: list[str], pairs: list[str] | None):
+    def __init__(self, alphabet: list[str], pairs: list[str] | None, damaged: list[str] | None):
         self.alphabet, self.pairs = frozenset(alphabet), None if pairs is None else frozenset(pairs)
+        self.damaged = None if damaged is None else frozenset(damaged)
         self.names = [c for c, (kind, _) in CHAINS.items() if kind != "lossy" or "�" in self.alphabet]
         self.lossy = sum(1 << i for i, c in enumerate(self.names) if CHAINS[c][0] == "lossy")
 
@@ -158,12 +159,14 @@ class FormMaker:
                 for i, chain in enumerate(self.names):
                     if not bits >> i & 1:
                         continue
-                    form = garble(word, chain) if self.lossy >> i & 1 else word.translate(tables[i])
+                    lost = self.lossy >> i & 1
+                    form = garble(word, chain) if lost else word.translate(tables[i])
                     if form is None or form == word:
                         continue
                     form = _STRIP.sub("", form)
                     key = (form, chain[:5])
-                    if form and not form.isascii() and key not in seen and self.possible(form):
+                    held = form in self.damaged if lost and self.damaged is not None else self.possible(form)
+                    if held and form and not form.isascii() and key not in seen:
                         seen.add(key)
                         out.append((form, word, chain, n))
                 if len(out) >= 20_000:
@@ -173,6 +176,7 @@ class FormMaker:
 
 
 def _pairs_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pairs of characters with a non-ASCII one in the words of each batch."""
     for b in batches:
         found = {w[i : i + 2] for w in b["word"] for i in range(len(w) - 1) if w[i] > "\x7f" or w[i + 1] > "\x7f"}
         yield pd.DataFrame({"pair": sorted(found)})
@@ -241,17 +245,17 @@ class Mojibake:
         rows = self.words.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c")).filter("c > '\x7f'").distinct().limit(MAX_CHARACTERS).collect()
         return sorted(r.c for r in rows)
 
-    def pairs_of_characters(self) -> list[str] | None:
-        """The distinct pairs with a non-ASCII character; None if there are more than MAX_PAIRS."""
-        rows = self.words.select("word").mapInPandas(_pairs_of, "pair string").distinct().head(MAX_PAIRS + 1)
-        return None if len(rows) > MAX_PAIRS else [r.pair for r in rows]
+    def _few(self, column: str, rows: DataFrame) -> list[str] | None:
+        """The values if there are at most MAX_PAIRS, else None: then forms are left to the join."""
+        values = rows.select(column).head(MAX_PAIRS + 1)
+        return None if len(values) > MAX_PAIRS else [r[0] for r in values]
 
     def evidence(self) -> DataFrame:
         """(word, original, chain): every word of the corpus that is a garbled form."""
         if self._evidence is None:
             n = int(self.words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
             alphabet = self.alphabet()
-            maker = FormMaker(alphabet, self.pairs_of_characters())
+            maker = FormMaker(alphabet, self._few("pair", self.words.select("word").mapInPandas(_pairs_of, "pair string").distinct()), self._few("word", self.words.filter(F.col("word").contains("�"))))
             forms = self.words.repartition(n, "word").mapInPandas(maker.run, _FORMS)
             joined = self.words.join(forms, F.col("word") == F.col("form"))
             single = F.col("chain").startswith("single:")
@@ -280,7 +284,7 @@ class Mojibake:
 
     def hits(self) -> DataFrame:
         """(doc_id, word, original, chain) in documents with enough evidence."""
-        found = self.pairs.join(broadcast_if_small(self.evidence(), MAX_SIDE, "garbled"), "word")
+        found = materialize(self.pairs.join(broadcast_if_small(self.evidence(), MAX_SIDE, "garbled"), "word"), "garbled-pairs")
         sure = found.filter(~F.col("chain").startswith("single:"))
         single = found.filter(F.col("chain").startswith("single:"))
         enough = single.groupBy("doc_id", "chain").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_WORDS).select("doc_id", "chain")
