@@ -213,8 +213,8 @@ class CharacterForms:
                 return None
         return "".join(out)
 
-    def restore(self, word: str) -> tuple[str, str] | None:
-        """(original, chain) of the chain that explains most of the word's runs; U+FFFD has no original."""
+    def once(self, word: str) -> tuple[str, str] | None:
+        """(word read back, chain) of the chain that explains most of the word's runs."""
         best = None
         runs = self.RUN.findall(word)
         for chain in self.forms:
@@ -223,9 +223,20 @@ class CharacterForms:
             if good and (best is None or good > best[0]):
                 it = iter(made)
                 best = good, self.RUN.sub(lambda m: next(it) or m[0], word), chain
-        if best:
-            return best[1], best[2]
-        return (word, "lossy:cp1252") if "�" in word else None
+        return best and best[1:]
+
+    def restore(self, word: str) -> tuple[str, str] | None:
+        """(original, first chain), read back as often as it takes; U+FFFD has no original."""
+        found = self.once(word)
+        if found is None:
+            return (word, "lossy:cp1252") if "�" in word else None
+        text, chain = found
+        for _ in range(3):
+            more = self.once(text)
+            if more is None:
+                break
+            text = more[0]
+        return text, chain
 
 
 _EVIDENCE = T.StructType([T.StructField(n, T.StringType()) for n in ("word", "original", "chain")])
@@ -279,7 +290,12 @@ class Mojibake:
             both = multi.withColumn("rank", F.lit(0)).unionByName(rest.withColumn("rank", F.lit(1)))
             best = both.groupBy("word").agg(F.min_by(F.struct("original", "chain"), F.struct("rank", "chain")).alias("b")).select("word", "b.*")
             singles = by_word.filter(F.col("chain").startswith("single:"))
-            self._evidence = materialize(best.unionByName(singles), "garbled-words")
+            direct = materialize(best.unionByName(singles), "garbled-words-once")
+            # an original that is garbled itself leads on to its own
+            further = direct.select(F.col("word").alias("w2"), F.col("original").alias("o2")).filter("w2 <> o2")
+            further = further.groupBy("w2").agg(F.min("o2").alias("o2"))
+            step = direct.join(further, F.col("original") == F.col("w2"), "left").select("word", F.coalesce("o2", "original").alias("original"), "chain")
+            self._evidence = materialize(step, "garbled-words")
         return self._evidence
 
     def hits(self) -> DataFrame:
