@@ -17,14 +17,18 @@ from pyspark.sql import types as T
 from assize.functions.constants import CHAMBERS, COUNTRIES, GRAND_CHAMBER_BOOST, GROUNDS, KEY_CASE_BOOST, OTHER_GROUND, SECTION_WEIGHTS, STOPWORDS
 
 
+#: All characters with the Unicode property White_Space.
+WHITE = "".join(chr(i) for i in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def squeeze(c: Column) -> Column:
-    """Runs of white space as one blank, none outside (citations, labels)."""
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    """Runs of white space as one blank, none outside (citations, labels). Single blanks are no match, so most text is left as it is."""
+    return F.trim(F.regexp_replace(c, r"(?U)\s{2,}|[\s&&[^ ]]", " "))
 
 
 def lookup(mapping: dict, c: Column, default: Column | None = None) -> Column:

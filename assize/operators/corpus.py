@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assize.functions import text as X
-from assize.runtime import table
+from assize.runtime import spread, table
 
 
 #: Raw fields of which only the presence is kept.
@@ -107,7 +107,7 @@ class Corpus:
 
         return cls(
             normalize_cases(table(spark, root, "cases")),
-            normalize_paragraphs(table(spark, root, "paragraphs")),
+            normalize_paragraphs(spread(table(spark, root, "paragraphs"))),
             items("keywords", "keyword", X.strip(F.col("keyword"))),
             items("judges", "judge", X.strip(F.col("judge"))),
             items("citations", "citation", X.squeeze(F.col("citation"))),

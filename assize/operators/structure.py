@@ -40,6 +40,11 @@ LAW_PATTERNS = {
     "joinder": r"(JOINDER\s+OF\s+THE\s+APPLICATION|PRELIMINARY\s+OBJECTION)",
     "admissible": r"admissibl",
 }
+#: Small-letter text without which a pattern cannot match; looked for first.
+NEEDLES = {
+    "opinion": "opinion", "article_41": "application", "article_46": "46", "article_46_first": "46", "names_violation": "violation", "mentions_41": "41", "admissibility": "admissibility", "merits": "merits",
+    "principles": "principles", "assessment": "assessment", "declared": "admissible", "then_merits": "merits", "finding": "violation", "alleged": "alleged", "admissible": "admissibl",
+}
 #: A judge's name alone, with case (a fixed value).
 JUDGE_NAME = r"^[A-ZÁÀÂÃÉÈÊÍÏÓÔÕÖÚÇÑ][a-záàâãéèêíïóôõöúçñ]+\s*,?\s*(President|Registrar|judge|ad\s+hoc)?$"
 _MULTILINE = {"admissibility", "merits"}
@@ -65,9 +70,10 @@ def law_signals(text: Column) -> Column:
     """Bit set of the signals of a stripped paragraph."""
     n = F.length(text)
     header = (_matches(text, LAW_PATTERNS["fragment"]) & (n < 200)) | (_matches(text, JUDGE_NAME, "d") & (n < 60)) | (n <= 3)
-    out = F.when(header, _BIT["header"]).otherwise(0)
+    out, low = F.when(header, _BIT["header"]).otherwise(0), F.lower(text)
     for name in SIGNALS[1:]:
-        out = out + F.when(_matches(text, LAW_PATTERNS[name], "iudm" if name in _MULTILINE else "iud"), _BIT[name]).otherwise(0)
+        hit = _matches(text, LAW_PATTERNS[name], "iudm" if name in _MULTILINE else "iud")
+        out = out + F.when(low.contains(NEEDLES[name]) & hit if name in NEEDLES else hit, _BIT[name]).otherwise(0)
     return out.cast("int")
 
 
@@ -109,7 +115,7 @@ def facts_signal(text: Column) -> Column:
     def kind(c: Column) -> Column:
         return F.when(_matches(c, PROCEEDINGS_HEADING), TO_PROCEEDINGS).when(_matches(c, BACKGROUND_HEADING), TO_BACKGROUND)
 
-    busy = F.size(F.regexp_extract_all(text, F.lit(f"(?iudU){PROCEEDINGS_WORDS}"), F.lit(0))) >= 2
+    busy = F.lower(text).rlike(f"(?s){PROCEEDINGS_WORDS}.*?{PROCEEDINGS_WORDS}")
     return F.coalesce(F.when(roman, kind(body)), F.when(heading, kind(clean)), F.when(busy, BUSY), F.lit(QUIET)).cast("int")
 
 
@@ -121,60 +127,67 @@ def facts_reaction(state: int, signal: int) -> tuple[int, str]:
     return state, FACTS[state]
 
 
-def _scan(groups: list[str], first: Callable, react: React, states: int, out: list[str], give: Callable) -> Callable:
-    """Over sorted rows: run the automaton from the start states of each group and give out rows."""
+def _end_states(react: React, states: int) -> Callable:
+    """Over sorted rows (g, c, ..., signal): for each chunk the end state of every start state."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[tuple[int, int], tuple[int, str]] = {}
-        current, now, held = None, None, []
+        current, now, out = None, [], []
         for b in batches:
-            rows: list[tuple] = []
-            starts = b["start"].tolist() if "start" in b else [None] * len(b)
-            for key, position, signal, start in zip(zip(*[b[g].tolist() for g in groups]), b["at"].tolist(), b["signal"].tolist(), starts):
-                if key != current:
+            for g, c, signal in zip(b["g"].tolist(), b["c"].tolist(), b["signal"].tolist()):
+                if (g, c) != current:
                     if current is not None:
-                        held.extend(give(current, now))
-                    current, now = key, first(start)
-                labels = []
-                for i, s in enumerate(now):
-                    step = memo.get((s, signal))
-                    if step is None:
-                        step = memo[s, signal] = react(s, signal)
-                    now[i] = step[0]
-                    labels.append(step[1])
-                if len(now) == 1:
-                    rows.append((*key, position, labels[0]))
-            yield pd.DataFrame(held if len(out) == len(groups) + 1 else rows, columns=out)
-            held = []
-        if current is not None and len(out) == len(groups) + 1:
-            yield pd.DataFrame(give(current, now), columns=out)
+                        out.append((*current, now))
+                    current, now = (g, c), list(range(states))
+                now = [react(s, signal)[0] for s in now]
+            yield pd.DataFrame(out, columns=["g", "c", "ends"])
+            out = []
+        yield pd.DataFrame([(*current, now)] if current is not None else [], columns=["g", "c", "ends"])
+
+    return run
+
+
+def _labels(react: React) -> Callable:
+    """Over sorted rows (g, c, ..., signal, start): the rows with their labels."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo: dict[tuple[int, int], tuple[int, str]] = {}
+        current, state = None, 0
+        for b in batches:
+            labels = []
+            for g, c, signal, start in zip(b["g"].tolist(), b["c"].tolist(), b["signal"].tolist(), b["start"].tolist()):
+                if (g, c) != current:
+                    current, state = (g, c), start
+                step = memo.get((state, signal))
+                if step is None:
+                    step = memo[state, signal] = react(state, signal)
+                state = step[0]
+                labels.append(step[1])
+            yield b.drop(columns=["c", "signal", "start"]).assign(label=labels)
 
     return run
 
 
 def label(rows: DataFrame, group: str, order: list[str], signal: Column, react: React, states: int, chunk: int = CHUNK) -> DataFrame:
-    """``rows`` with ``label``, the automaton's output in the given order within each group.
+    """(group, order..., label): the automaton's output in the given order within each group.
 
     ``order[0]`` is a position that counts up from 0; the order must be total. State 0 is the start.
     """
-    base = rows.select(F.col(group).cast("long").alias("g"), F.floor(F.col(order[0]) / chunk).alias("c"), F.struct(*order).alias("at"), signal.alias("signal"))
-    base = base.select("g", "c", F.to_json("at").alias("key"), "at", "signal")
+    place = [F.col(o).alias(f"o{i}") for i, o in enumerate(order)]
+    keys = [f"o{i}" for i in range(len(order))]
+    base = rows.select(F.col(group).cast("long").alias("g"), F.floor(F.col(order[0]) / chunk).alias("c"), *place, signal.alias("signal"))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # only decisions of several chunks need their chunks' maps
     long = base.filter("c > 0").select("g").distinct()
-    several = base.join(long, "g", "left_semi").repartition(n, "g", "c").sortWithinPartitions("g", "c", "at").select("g", "c", F.col("key").alias("at"), "signal")
-    maps = several.mapInPandas(_scan(["g", "c"], lambda _: list(range(states)), react, states, ["g", "c", "ends"], lambda k, now: [(*k, list(now))]), "g long, c long, ends array<int>")
-    chain = F.aggregate(
-        F.collect_list("ends").over(Window.partitionBy("g").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0), lambda s, ends: F.get(ends, s),
-    )
-    starts = maps.select("g", "c", chain.alias("start"))
-    ready = base.join(starts, ["g", "c"], "left").withColumn("start", F.coalesce("start", F.lit(0)))
-    ready = ready.repartition(n, "g", "c").sortWithinPartitions("g", "c", "at").select("g", "c", F.col("key").alias("at"), "signal", "start")
-    labelled = ready.mapInPandas(_scan(["g", "c"], lambda s: [s], react, states, ["g", "c", "at", "label"], lambda k, now: []), "g long, c long, at string, label string")
-    kind = rows.select(F.struct(*order)).schema[0].dataType
-    labelled = labelled.select(F.col("g").alias(group), F.from_json("at", kind).alias("at"), "label").select(group, "at.*", "label")
-    return labelled
+    ready = base.withColumn("start", F.lit(0))
+    if not long.isEmpty():  # only decisions of several chunks need their chunks' maps
+        several = base.join(long, "g", "left_semi").repartition(n, "g", "c").sortWithinPartitions("g", "c", *keys)
+        maps = several.mapInPandas(_end_states(react, states), "g long, c long, ends array<int>")
+        before = F.collect_list("ends").over(Window.partitionBy("g").orderBy("c").rowsBetween(Window.unboundedPreceding, -1))
+        starts = maps.select("g", "c", F.aggregate(before, F.lit(0), lambda s, ends: F.get(ends, s)).alias("from"))
+        ready = base.join(starts, ["g", "c"], "left").withColumn("start", F.coalesce("from", F.lit(0))).drop("from")
+    ready = ready.repartition(n, "g", "c").sortWithinPartitions("g", "c", *keys)
+    schema = T.StructType([ready.schema["g"], *[ready.schema[k] for k in keys], T.StructField("label", T.StringType())])
+    labelled = ready.select("g", "c", *keys, "signal", "start").mapInPandas(_labels(react), schema)
+    return labelled.select(F.col("g").alias(group), *[F.col(k).alias(o) for k, o in zip(keys, order)], "label")
 
 
 def law_sections(rows: DataFrame, group: str, order: list[str], text: str) -> DataFrame:
