@@ -90,7 +90,9 @@ class Ledger:
         )
         self.versions += 1
         path = f"{self.root}/v{self.versions}"
-        (merged if self.parts else fresh.select("k1", "k2", F.col("n").alias("copies"), F.col("low").alias("first_id"), F.col("b").alias("bucket"))).write.partitionBy("bucket").parquet(path)
+        made = merged if self.parts else fresh.select("k1", "k2", F.col("n").alias("copies"), F.col("low").alias("first_id"), F.col("b").alias("bucket"))
+        # one row per key, so buckets are even; each is one file
+        made.repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(path)
         self.parts |= dict.fromkeys(touched, path)
 
 
