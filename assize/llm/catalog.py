@@ -11,7 +11,7 @@ from assize.llm import characters, ledger, leakage, ngrams
 from assize.llm.mixing import Mixture
 from assize.llm.mojibake import Mojibake
 from assize.llm.repeated_lines import RepeatedLines
-from assize.runtime import table
+from assize.runtime import materialize, table
 
 
 def _lines(spark: SparkSession, d: str) -> RepeatedLines:
@@ -30,18 +30,18 @@ def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
     return _lines(spark, d).report()
 
 
-def _ledger(citations: DataFrame) -> ledger.Ledger:
-    return ledger.collapse(citations, ledger.citation_key(F.col("citation")), "citation_id")
+def _keyed(citations: DataFrame) -> DataFrame:
+    return materialize(ledger.keyed(citations, ledger.citation_key(F.col("citation")), "citation_id"), "citation-keys")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "citations")
-    return ledger.copies(c, ledger.citation_key(F.col("citation")), "citation_id", _ledger(c))
+    rows = _keyed(table(spark, d, "citations"))
+    return ledger.copies(rows, ledger.collapse(rows))
 
 
 def p3_collapsed(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "citations")
-    return ledger.collapsed(c, "citation", "citation_id", _ledger(c))
+    return ledger.collapsed(c, "citation", "citation_id", ledger.collapse(_keyed(c)))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -28,13 +28,14 @@ _NUMBER = r"(?<![\p{L}\p{N}])no[^\p{L}\p{N}]*(\d+)[^\p{L}\p{N}]*/[^\p{L}\p{N}]*(
 def citation_fields(citation: Column) -> dict[str, Column]:
     """The four fields in comparable form; '' stands for a missing one."""
     s = F.lower(citation)
-    date = F.concat(*[F.regexp_extract(s, _DATE, i) for i in (1, 2, 3)])
-    s = F.regexp_replace(s, _DATE, "|")
-    paragraph = F.regexp_extract(s, _PARAGRAPH, 1)
-    s = F.regexp_replace(s, _PARAGRAPH, "|")
-    number = F.concat(F.regexp_extract(s, _NUMBER, 1), F.regexp_extract(s, _NUMBER, 2))
-    s = F.regexp_replace(s, _NUMBER, "|")
-    return {"parties": F.regexp_replace(s, r"[^\p{L}\p{M}\p{N}]+", ""), "number": number, "paragraph": paragraph, "date": date}
+    plain = lambda c: F.regexp_replace(c, r"[^\p{L}\p{M}\p{N}]+", "")
+    made = {}
+    for name, pattern in (("date", _DATE), ("paragraph", _PARAGRAPH), ("number", _NUMBER)):
+        found = F.regexp_extract(s, pattern, 0)
+        made[name] = plain(found)
+        s = F.replace(s, found, F.lit("|"))
+    # the words that mark a field are in every number alike
+    return {"parties": plain(s), "number": made["number"], "paragraph": made["paragraph"], "date": made["date"]}
 
 
 def citation_key(citation: Column) -> Column:
@@ -42,8 +43,10 @@ def citation_key(citation: Column) -> Column:
     return F.when(F.trim(F.regexp_replace(citation, r"\s+", " ")) != "", F.concat_ws("|", *citation_fields(citation).values()))
 
 
-def key_columns(key: Column) -> list[Column]:
-    return [F.xxhash64(key).alias("k1"), F.xxhash64(F.lit(29), key).alias("k2")]
+def keyed(df: DataFrame, key: Column, row_id: str) -> DataFrame:
+    """(k1, k2, id) of the rows with a key and an id, the only thing of them that the ledger needs."""
+    rows = df.select(key.alias("key"), F.col(row_id).cast("long").alias("id")).filter("key is not null and id is not null")
+    return rows.select(F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(29), "key").alias("k2"), "id")
 
 
 class Ledger:
@@ -71,10 +74,9 @@ class Ledger:
             out = out.unionByName(self.spark.read.schema(self.COLUMNS).parquet(p).filter(F.col("bucket").isin(current)))
         return out
 
-    def update(self, batch: DataFrame, key: Column, row_id: str) -> None:
-        """Add a batch; rows with a null key or id are no records."""
-        rows = batch.select(*key_columns(key), F.col(row_id).cast("long").alias("id"), key.alias("key")).filter("key is not null and id is not null")
-        fresh = rows.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("id").alias("low"))
+    def update(self, batch: DataFrame) -> None:
+        """Add a batch of keyed rows."""
+        fresh = batch.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("id").alias("low"))
         fresh = fresh.withColumn("b", F.pmod(F.col("k1"), F.lit(self.buckets)).cast("int"))
         if self.parts:
             fresh = materialize(fresh, "ledger-batch")
@@ -96,20 +98,20 @@ class Ledger:
         self.parts |= dict.fromkeys(touched, path)
 
 
-def collapse(df: DataFrame, key: Column, row_id: str, batches: int = 4, buckets: int = 64) -> Ledger:
-    """A ledger of ``df``, taken in as ``batches`` ranges of the row id, each one an update."""
-    ledger = Ledger(df.sparkSession, buckets)
-    low, high = df.agg(F.min(row_id), F.max(row_id)).first()
+def collapse(rows: DataFrame, batches: int = 4, buckets: int = 64) -> Ledger:
+    """A ledger of keyed rows, taken in as ``batches`` ranges of the id, each one an update."""
+    ledger = Ledger(rows.sparkSession, buckets)
+    low, high = rows.agg(F.min("id"), F.max("id")).first()
     if low is None:
         return ledger
     step = max(1, -(-(high - low + 1) // batches))
     for start in range(low, high + 1, step):
-        ledger.update(df.filter((F.col(row_id) >= start) & (F.col(row_id) < start + step)), key, row_id)
+        ledger.update(rows.filter((F.col("id") >= start) & (F.col("id") < start + step)))
     return ledger
 
 
-def copies(df: DataFrame, key: Column, row_id: str, ledger: Ledger) -> DataFrame:
-    """(kept_id, copy_id) of every row that is a later copy of another.
+def copies(rows: DataFrame, ledger: Ledger) -> DataFrame:
+    """(kept_id, copy_id) of every keyed row that is a later copy of another.
 
     Keys with at least a thousandth of all rows are at most a thousand; these are broadcast, so that the
     rows of a hot key never meet in one task. The others are joined by shuffle.
@@ -118,7 +120,7 @@ def copies(df: DataFrame, key: Column, row_id: str, ledger: Ledger) -> DataFrame
     total = ledger.rows().agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     limit = max(2, total // 1000)
     hot, cold = F.broadcast(entries.filter(F.col("copies") > limit)), entries.filter(F.col("copies") <= limit)
-    rows = df.select(*key_columns(key), F.col(row_id).cast("long").alias("copy_id"), key.alias("key")).filter("key is not null and copy_id is not null").drop("key")
+    rows = rows.withColumnRenamed("id", "copy_id")
     joined = rows.join(hot, ["k1", "k2"]).unionByName(rows.join(hot, ["k1", "k2"], "left_anti").join(cold, ["k1", "k2"]))
     return joined.filter("first_id < copy_id").select(F.col("first_id").alias("kept_id"), "copy_id")
 

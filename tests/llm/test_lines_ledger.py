@@ -97,8 +97,9 @@ CITES = [
 
 def test_citations(spark):
     df = spark.createDataFrame([(i, c, "k") for i, c in enumerate(CITES, 1)], "citation_id long, citation string, key string")
-    ledger = L.collapse(df, L.citation_key(F.col("citation")), "citation_id", 3, 8)
-    got = {tuple(r) for r in L.copies(df, L.citation_key(F.col("citation")), "citation_id", ledger).collect()}
+    rows = L.keyed(df, L.citation_key(F.col("citation")), "citation_id")
+    ledger = L.collapse(rows, 3, 8)
+    got = {tuple(r) for r in L.copies(rows, ledger).collect()}
     assert got == {(1, 2), (1, 3), (1, 10), (11, 12)}
     assert {r.citation_id: r.copies for r in L.collapsed(df, "citation", "citation_id", ledger).collect()} == {1: 4, 4: 1, 5: 1, 6: 1, 11: 2}
 
@@ -110,18 +111,18 @@ def test_ledger_grows_with_batches(spark):
     ledger = L.Ledger(spark, 16)
     shuffled = rows[300:] + rows[:300]
     for part in (shuffled[:250], shuffled[250:597], shuffled[597:]):
-        ledger.update(spark.createDataFrame(part, "id long, v string"), F.col("v"), "id")
+        ledger.update(L.keyed(spark.createDataFrame(part, "id long, v string"), F.col("v"), "id"))
     want = defaultdict(list)
     for i, v in rows:
         if v:
             want[v].append(i)
     assert sorted((r.copies, r.first_id) for r in ledger.rows().collect()) == sorted((len(v), min(v)) for v in want.values())
-    got = {tuple(r) for r in L.copies(df, F.col("v"), "id", ledger).collect()}
+    got = {tuple(r) for r in L.copies(L.keyed(df, F.col("v"), "id"), ledger).collect()}
     assert got == {(min(v), i) for v in want.values() for i in v if i != min(v)}
     assert len(set(ledger.parts.values())) > 1
 
 
 def test_ledger_empty(spark):
     df = spark.createDataFrame([], "citation_id long, citation string")
-    key = L.citation_key(F.col("citation"))
-    assert L.copies(df, key, "citation_id", L.collapse(df, key, "citation_id")).count() == 0
+    rows = L.keyed(df, L.citation_key(F.col("citation")), "citation_id")
+    assert L.copies(rows, L.collapse(rows)).count() == 0
