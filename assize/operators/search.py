@@ -227,6 +227,12 @@ def section_blocks(paragraphs: DataFrame) -> DataFrame:
     return rows.groupBy("case_ord", "block", "section").agg(F.min("local_idx").alias("first"), F.max("local_idx").alias("last"), F.count("*").alias("paragraphs"))
 
 
+def in_section_order(paragraphs: DataFrame) -> DataFrame:
+    """Paragraphs by section in reading order, unknown sections last, then by position."""
+    rank = F.array_position(F.array(*[F.lit(s) for s in SECTION_ORDER]), F.col("section"))
+    return paragraphs.orderBy(F.when(rank == 0, len(SECTION_ORDER) + 1).otherwise(rank), "section", "case_ord", "local_idx")
+
+
 def export_rows(corpus: Corpus, rows: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """Flat rows for CSV: metadata of the case, paragraph number from 1, labels if given, text."""
     c = corpus.cases.withColumnRenamed("case_id", "__id")

@@ -33,7 +33,34 @@ def p6_delimiters(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = [p2_found, p2_paragraphs, p2_nodes, p6_found, p6_delimiters]
 
+
+
+def _entries(value: str) -> str:
+    """SQL for the entries of a JSON value where a list is due."""
+    text = f"json_extract_string({value}, '$')"
+    return f"""CASE WHEN {value} IS NULL OR json_type({value}) = 'NULL' THEN [] WHEN json_type({value}) = 'ARRAY' THEN from_json({value}, '["JSON"]')
+        WHEN json_type({value}) = 'VARCHAR' AND json_valid({text}) AND coalesce(json_type(try_cast({text} AS JSON)), '') = 'ARRAY' THEN from_json({text}, '["JSON"]') ELSE [{value}] END"""
+
+
+def _level(name: str, source: str, value: str, path: str, keep: str) -> str:
+    """SQL for one level of children: the non-null entries with their positions."""
+    return f"""{name}0 AS (SELECT {keep}, {path} AS up, {_entries(value)} AS l FROM {source}),
+{name}1 AS (SELECT * EXCLUDE (l), unnest(l) AS e, generate_subscripts(l, 1) - 1 AS i FROM {name}0),
+{name} AS (SELECT *, CASE WHEN up = '' THEN '' ELSE up || '.' END || i AS pos_path FROM {name}1 WHERE e IS NOT NULL AND json_type(e) <> 'NULL')"""
+
+
 SQL = {
+    "p2_found": rf"""
+WITH r AS (SELECT record_no, try_cast(payload AS JSON) AS j FROM echr_decisions_sample WHERE json_valid(payload) AND payload LIKE '{{%'),
+{_level("p", "r", "json_extract(j, '$.paragraphs')", "''", "record_no")},
+q AS (SELECT *, coalesce(nullif(regexp_replace(lower(trim(json_extract_string(e, '$.section'))), '[\s-]', '_', 'g'), ''), 'unknown') AS section,
+      CASE WHEN json_type(json_extract(e, '$.para_idx')) IN ('BIGINT', 'UBIGINT') OR regexp_full_match(json_extract_string(e, '$.para_idx'), '\s*[+-]?\d+\s*') THEN coalesce(try_cast(trim(json_extract_string(e, '$.para_idx')) AS INT), i) ELSE i END AS para_idx FROM p),
+{_level("n", "q", "json_extract(e, '$.notes')", "pos_path", "record_no, section, para_idx")},
+{_level("f", "n", "json_extract(e, '$.refs')", "pos_path", "record_no, section, para_idx")},
+{_level("c", "r", "json_extract(j, '$.court_assessment_references.case_references')", "''", "record_no")}
+SELECT record_no, 'paragraph' AS child, pos_path, section, para_idx::INT AS para_idx FROM q UNION ALL SELECT record_no, 'note', pos_path, section, para_idx FROM n
+UNION ALL SELECT record_no, 'ref', pos_path, section, para_idx FROM f UNION ALL SELECT record_no, 'case_reference', pos_path, '', -1 FROM c
+""",
     "p6_found": r"""
 WITH parts AS (SELECT case_ord, unnest(p) AS part, generate_subscripts(p, 1) AS i
                FROM (SELECT case_ord, regexp_extract_all(article_no, '"(?:[^"]|"")*"|''(?:[^'']|'''')*''|[^''"]+|[''"]') AS p FROM cases WHERE article_no IS NOT NULL)),
