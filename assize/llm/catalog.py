@@ -131,6 +131,18 @@ firsts AS (SELECT k, min(citation_id) AS kept_id, count(*) AS copies FROM keyed
 """.format(date=r"\b(\d{1,2})[^\p{L}\p{N}]+(" + "|".join(ledger.MONTHS) + r")[^\p{L}\p{N}]+(\d{4})\b", no=r"(^|[^\p{L}\p{N}])no[^\p{L}\p{N}]*(\d+)[^\p{L}\p{N}]*/[^\p{L}\p{N}]*(\d+)")
 
 
+_INVISIBLE = r"[\x{AD}\x{34F}\x{61C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{3164}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}\x01-\x08\x0B\x0C\x0E-\x1F\x7F]"
+_OTHER = r"\p{Greek}\p{Cyrillic}\p{Armenian}\p{Hebrew}\p{Arabic}\p{Georgian}\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}"
+
+
+def _inconsistent(table_name: str, row_id: str, column: str) -> str:
+    bare = f"regexp_replace({column}, '{_INVISIBLE}', '', 'g')"
+    return rf"""
+SELECT '{column}' AS field_name, {row_id} AS row_id FROM {table_name} WHERE {column} IS NOT NULL AND (nfc_normalize({column}) <> {column} OR regexp_matches({column}, '{_INVISIBLE}')
+    OR regexp_matches({column}, '[\x{{FF10}}-\x{{FF19}}\x{{FF21}}-\x{{FF3A}}\x{{FF41}}-\x{{FF5A}}\x{{FB00}}-\x{{FB06}}\x{{132}}\x{{133}}\x{{1C4}}-\x{{1CC}}\x{{1F1}}-\x{{1F3}}]') OR regexp_matches({column}, '[\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{205F}}\x{{3000}}]')
+    OR regexp_matches({bare}, '\p{{Latin}}[\p{{L}}\p{{M}}]*[{_OTHER}]|[{_OTHER}][\p{{L}}\p{{M}}]*\p{{Latin}}'))"""
+
+
 def _terms(table_name: str, field: str) -> str:
     return rf"""
 SELECT '{field}' AS field_name, term, sum(1)::BIGINT AS occurrences, count(DISTINCT case_ord) AS records,
@@ -157,6 +169,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT p.para_id, CASE WHEN coalesce(removed, 0) = 0 THEN p.text ELSE coalesce(kept.text, '') END AS text, coalesce(removed, 0)::INT AS removed FROM paragraphs p LEFT JOIN kept USING (para_id)""",
         "p3_found": f"WITH {_CITATION} SELECT kept_id, citation_id AS copy_id FROM keyed JOIN firsts USING (k) WHERE kept_id < citation_id",
         "p3_collapsed": f"WITH {_CITATION} SELECT citation_id, citation, copies FROM keyed JOIN firsts ON keyed.k = firsts.k AND citation_id = kept_id",
+        "p4_found": f"{_inconsistent('paragraphs', 'para_id', 'text')} UNION ALL {_inconsistent('judges', 'entry_id', 'judge')}",
         "p5_found": f"SELECT field_name, term, mark FROM ({_terms('judges', 'judge')} UNION ALL {_terms('keywords', 'keyword')}) WHERE mark IS NOT NULL",
         "p5_terms": f"{_terms('judges', 'judge')} UNION ALL {_terms('keywords', 'keyword')}",
         "p5_ngrams": f"{_ngrams('judges', 'judge')} UNION ALL {_ngrams('keywords', 'keyword')}",

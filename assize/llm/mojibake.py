@@ -39,8 +39,6 @@ SINGLE = [
 ]
 LOSSY = ["cp1252", "cp1250", "cp1251", "cp1254", "koi8-r", "iso8859-16", "mac_roman"]
 
-#: Most distinct characters of a corpus whose forms are broadcast: all of Unicode that is assigned.
-MAX_CHARACTERS = 160_000
 MAX_SIDE = 200_000
 #: Most distinct pairs of characters, and words with lost characters, that are broadcast to leave out impossible forms early; beyond, all forms are joined.
 MAX_PAIRS = 200_000
@@ -252,8 +250,8 @@ class Mojibake:
         self._evidence: DataFrame | None = None
 
     def alphabet(self) -> list[str]:
-        """The distinct non-ASCII characters of the corpus, at most as many as Unicode has."""
-        rows = self.words.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c")).filter("c > '\x7f'").distinct().limit(MAX_CHARACTERS).collect()
+        """The distinct non-ASCII characters of the corpus: a set of single characters, bounded by Unicode whatever the corpus."""
+        rows = self.words.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c")).filter("c > '\x7f'").distinct().collect()
         return sorted(r.c for r in rows)
 
     def _few(self, column: str, rows: DataFrame) -> list[str] | None:
