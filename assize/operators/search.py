@@ -218,12 +218,22 @@ def in_document(corpus: Corpus, case_id: str, text: str = "", section: str = "")
     return rows.orderBy("case_ord", "local_idx", "para_id")
 
 
-def section_blocks(paragraphs: DataFrame) -> DataFrame:
-    """Runs of paragraphs of one section: (case_ord, block, section, first, last, paragraphs)."""
-    w = Window.partitionBy("case_ord").orderBy("local_idx", "para_id")
-    opens = F.when(F.lag("section").over(w).eqNullSafe(F.col("section")), 0).otherwise(1)
-    rows = paragraphs.select("case_ord", "local_idx", "para_id", "section", opens.alias("opens"))
-    rows = rows.withColumn("block", F.sum("opens").over(w))
+def section_blocks(paragraphs: DataFrame, chunk: int = 4096) -> DataFrame:
+    """Runs of paragraphs of one section: (case_ord, block, section, first, last, paragraphs).
+
+    Runs are counted within chunks of positions; what a chunk needs of those before it, their last section and number of runs, is a row per chunk.
+    """
+    rows = paragraphs.select("case_ord", "local_idx", "para_id", "section", F.floor(F.col("local_idx") / chunk).alias("chunk"))
+    inside = Window.partitionBy("case_ord", "chunk").orderBy("local_idx", "para_id")
+    rows = rows.withColumn("n", F.row_number().over(inside)).withColumn("opens", F.when(F.lag("section").over(inside).eqNullSafe(F.col("section")), 0).otherwise(1))
+    place = F.struct("local_idx", "para_id")
+    ends = rows.groupBy("case_ord", "chunk").agg(F.min_by("section", place).alias("head"), F.max_by("section", place).alias("tail"), F.sum("opens").alias("runs"))
+    across = Window.partitionBy("case_ord").orderBy("chunk")
+    # a run that goes on from the chunk before opens nothing
+    ends = ends.withColumn("goes_on", F.coalesce(F.lag("tail").over(across) == F.col("head"), F.lit(False)).cast("int"))
+    before = F.coalesce(F.sum(F.col("runs") - F.col("goes_on")).over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(ends.select("case_ord", "chunk", "goes_on", before.alias("before")), ["case_ord", "chunk"])
+    rows = rows.withColumn("block", F.col("before") - F.col("goes_on") + F.sum("opens").over(inside))
     return rows.groupBy("case_ord", "block", "section").agg(F.min("local_idx").alias("first"), F.max("local_idx").alias("last"), F.count("*").alias("paragraphs"))
 
 

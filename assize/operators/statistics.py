@@ -51,8 +51,9 @@ def distinct_counts(c: Corpus) -> DataFrame:
     """Unique countries and shown articles, and the average number of citations per case."""
     states = c.cases.select(F.explode("states").alias("x")).agg(F.countDistinct("x").alias("unique_countries"))
     articles = c.cases.select(F.explode("articles").alias("x")).filter(X.shown_article(F.col("x"))).agg(F.countDistinct("x").alias("unique_articles"))
-    cites = c.citations.agg(F.count("*").alias("n")).crossJoin(c.cases.agg(F.count("*").alias("all"))).select(F.round(X.ratio(F.col("n"), F.col("all"), 1.0), 4).alias("avg_citations"))
-    return states.crossJoin(articles).crossJoin(cites)  # three single rows side by side
+    cites = c.citations.agg(F.count("*").alias("n"))
+    avg = F.round(X.ratio(cites.scalar(), F.col("all"), 1.0), 4)
+    return c.cases.agg(F.count("*").alias("all")).select(states.scalar().alias("unique_countries"), articles.scalar().alias("unique_articles"), avg.alias("avg_citations"))
 
 
 def by_period(c: Corpus, key=X.month_key) -> DataFrame:
@@ -153,7 +154,7 @@ def citing_cases(c: Corpus, k: int = 20) -> DataFrame:
 def concentration(c: Corpus, k: int = 10) -> DataFrame:
     """Share of the most cited precedents in all citations, alone and running."""
     all_ = c.citations.agg(F.count("*").alias("all"))
-    rows = ranking(c.citations, k).crossJoin(all_)
+    rows = ranking(c.citations, k).withColumn("all", all_.scalar())
     w = Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), "value")  # k rows
     share = X.ratio(F.col("n"), F.col("all"))
     running = F.sum(share).over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -171,7 +172,7 @@ def field_completeness(raw: DataFrame, lists: dict[str, DataFrame]) -> DataFrame
     """(field, share) of cases in which a raw field, or a list kept in a table of its own, is present."""
     one = raw.agg(F.count("*").alias("all"), *[F.count_if(X.is_present(F.col(f), k)).alias(f) for f, k in FIELDS.items()])
     for name, rows in lists.items():
-        one = one.crossJoin(rows.agg(F.countDistinct("case_ord").alias(name)))  # single rows
+        one = one.withColumn(name, rows.agg(F.countDistinct("case_ord")).scalar())
     names = [*FIELDS, *lists]
     cells = F.array(*[F.struct(F.lit(n).alias("field"), F.round(X.ratio(F.col(n), F.col("all"), 1.0), 4).alias("share")) for n in names])
     return one.select(F.inline(cells))

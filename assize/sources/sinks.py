@@ -62,4 +62,4 @@ def section_report(paragraphs: DataFrame) -> DataFrame:
     """Section counts with their share, for the console."""
     counts = paragraphs.groupBy("section").agg(F.count("*").alias("n"))
     total = paragraphs.agg(F.count("*").alias("all"))
-    return counts.crossJoin(total).select("section", "n", F.round(F.col("n") / F.col("all") * 100, 1).alias("percent")).orderBy(F.desc("n"))
+    return counts.select("section", "n", F.round(F.col("n") / total.scalar() * 100, 1).alias("percent")).orderBy(F.desc("n"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from assize.operators import search as S
 from assize.operators import statistics as A
-from assize.operators.corpus import Corpus, latest_rows, normalize_cases, normalize_paragraphs, unique_ids, unnest_paragraphs
+from assize.operators.corpus import Corpus, latest_rows, normalize_cases, normalize_paragraphs, numbered, unique_ids, unnest_paragraphs
 
 CASE = (
     "case_ord long, case_id string, case_no string, title string, judgment_date string, respondent_state string, defendants string, originating_body string, document_type string, importance string, "
@@ -99,6 +99,20 @@ def test_islands_and_documents(corpus):
     assert [r.para_id for r in S.in_document(corpus, "c1", "COURT").collect()] == [1]
 
 
+@pytest.mark.parametrize("chunk", [1, 3, 4096])
+def test_islands_in_chunks(spark, chunk):
+    rows = [(1, i, i, s) for i, s in enumerate("aabbbacccca")] + [(2, 0, 50, "a"), (2, 0, 51, "b")]
+    df = spark.createDataFrame(rows, "case_ord long, local_idx int, para_id long, section string")
+    got = [(r.case_ord, r.block, r.section, r.paragraphs) for r in S.section_blocks(df, chunk).orderBy("case_ord", "block").collect()]
+    assert got == [(1, 1, "a", 2), (1, 2, "b", 3), (1, 3, "a", 1), (1, 4, "c", 4), (1, 5, "a", 1), (2, 1, "a", 1), (2, 2, "b", 1)]
+
+
+def test_numbered_in_chunks(spark):
+    rows = spark.createDataFrame([(g, i, "x") for g in ("a", None) for i in (5, 0, 9, 3, 7)], "g string, i long, __n string")
+    for chunk in (1, 4, 4096):
+        assert sorted((r.g or "", r.i, r.k) for r in numbered(rows.drop("__n"), "g", ["i"], "k", chunk).collect()) == sorted((g, i, k) for g in ("a", "") for k, i in enumerate((0, 3, 5, 7, 9), 1))
+
+
 def test_unique_ids(spark):
     rows = spark.createDataFrame([(1, "x"), (2, "x"), (3, None), (4, "x"), (5, "x-2")], "case_ord long, case_id string")
     got = {r.case_ord: r.unique_id for r in unique_ids(rows).collect()}
