@@ -116,7 +116,7 @@ _LINES = r"""
 cases AS (SELECT source_file, count(DISTINCT case_ord) AS n FROM paragraphs WHERE source_file IS NOT NULL GROUP BY 1),
 parts AS (SELECT para_id, case_ord, source_file, text, string_split_regex(text, '\r?\n') AS l FROM paragraphs WHERE text IS NOT NULL AND source_file IS NOT NULL),
 raw AS (SELECT para_id, case_ord, source_file, unnest(l) AS line, generate_subscripts(l, 1) AS line_no FROM parts),
-keyed AS (SELECT *, regexp_replace(lower(trim(regexp_replace(line, '[ \t]+', ' ', 'g'))), '\p{Nd}+', '0', 'g') AS k FROM raw),
+keyed AS (SELECT *, regexp_replace(lower(trim(regexp_replace(line, '[ \t]+', ' ', 'g'), ' ')), '\p{Nd}+', '0', 'g') AS k FROM raw),
 often AS (SELECT source_file, k FROM keyed JOIN cases USING (source_file) WHERE k <> '' GROUP BY source_file, k, n
           HAVING count(DISTINCT case_ord) >= 6 AND count(DISTINCT case_ord) * 100 >= 2 * n)
 """
@@ -147,8 +147,8 @@ def _terms(table_name: str, field: str) -> str:
     return rf"""
 SELECT '{field}' AS field_name, term, sum(1)::BIGINT AS occurrences, count(DISTINCT case_ord) AS records,
        CASE WHEN count(DISTINCT case_ord) < 3 THEN 'rare'
-            WHEN count(DISTINCT case_ord) * 100 > 20 * (SELECT count(DISTINCT case_ord) FROM {table_name} WHERE trim({field}) <> '') THEN 'common' END AS mark
-FROM (SELECT lower(trim(regexp_replace({field}, ' +', ' ', 'g'))) AS term, case_ord FROM {table_name})
+            WHEN count(DISTINCT case_ord) * 100 > 20 * (SELECT count(DISTINCT case_ord) FROM {table_name} WHERE trim({field}, ' ') <> '') THEN 'common' END AS mark
+FROM (SELECT lower(trim(regexp_replace({field}, ' +', ' ', 'g'), ' ')) AS term, case_ord FROM {table_name})
 WHERE term <> '' AND case_ord IS NOT NULL GROUP BY term"""
 
 
@@ -156,8 +156,8 @@ def _ngrams(table_name: str, field: str) -> str:
     return rf"""
 SELECT '{field}' AS field_name, array_to_string(w[i : i + n - 1], ' ') AS term, count(*) AS occurrences, count(DISTINCT case_ord) AS records
 FROM (SELECT w, case_ord, n, unnest(generate_series(1, len(w) - n + 1)) AS i
-      FROM (SELECT string_split(lower(trim(regexp_replace({field}, ' +', ' ', 'g'))), ' ') AS w, case_ord, unnest([1, 2, 3]) AS n
-            FROM {table_name} WHERE trim({field}) <> '' AND case_ord IS NOT NULL) WHERE len(w) >= n)
+      FROM (SELECT string_split(lower(trim(regexp_replace({field}, ' +', ' ', 'g'), ' ')), ' ') AS w, case_ord, unnest([1, 2, 3]) AS n
+            FROM {table_name} WHERE trim({field}, ' ') <> '' AND case_ord IS NOT NULL) WHERE len(w) >= n)
 GROUP BY 2"""
 
 
