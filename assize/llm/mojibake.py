@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import string
 from collections.abc import Iterator
 
 import pandas as pd
@@ -94,7 +95,7 @@ def garble(word: str, chain: str) -> str | None:
 
 _PUNCT = r"!-/:-@\[-`{-~"
 _WORDS = r"(?<![^ \t\r\n])[\x00-\x7F&&[^ \t\r\n]]*+[^\x00-\x7F][^ \t\r\n]*"
-_STRIP = regex.compile(rf"^[{_PUNCT}]+|[{_PUNCT}]+$")
+_STRIP = string.punctuation
 
 
 def doc_words(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -127,7 +128,15 @@ class FormMaker:
         self.lossy = sum(1 << i for i, c in enumerate(self.names) if CHAINS[c][0] == "lossy")
 
     def possible(self, form: str) -> bool:
-        return self.pairs is None or all(form[i : i + 2] in self.pairs for i in range(len(form) - 1) if form[i] > "\x7f" or form[i + 1] > "\x7f")
+        pairs = self.pairs
+        if pairs is None:
+            return True
+        last = form[:1]
+        for c in form[1:]:
+            if (c > "\x7f" or last > "\x7f") and last + c not in pairs:
+                return False
+            last = c
+        return True
 
     def run(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tables: list[dict[int, str]] = [{} for _ in self.names]
@@ -161,7 +170,7 @@ class FormMaker:
                     form = garble(word, chain) if lost else word.translate(tables[i])
                     if form is None or form == word:
                         continue
-                    form = _STRIP.sub("", form)
+                    form = form.strip(_STRIP)
                     key = (form, chain[:5])
                     held = form in self.damaged if lost and self.damaged is not None else self.possible(form)
                     if held and form and not form.isascii() and key not in seen:
@@ -322,7 +331,7 @@ class Mojibake:
                     word = regex.compile(r"[^ \t\r\n]*[^\x00-\x7f \t\r\n][^ \t\r\n]*+")
 
                     def swap(m, table=table):
-                        core = _STRIP.sub("", m[0])
+                        core = m[0].strip(_STRIP)
                         at = m[0].find(core)
                         return m[0][:at] + table.get(core, core) + m[0][at + len(core) :]
 
