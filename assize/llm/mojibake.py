@@ -93,14 +93,13 @@ def garble(word: str, chain: str) -> str | None:
     return form if "�" in form else None  # else nothing was lost, and the word itself is the garbled one
 
 
-_PUNCT = r"!-/:-@\[-`{-~"
 _WORDS = r"(?<![^ \t\r\n])[\x00-\x7F&&[^ \t\r\n]]*+[^\x00-\x7F][^ \t\r\n]*"
 _STRIP = string.punctuation
 
 
 def doc_words(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, word): the distinct words with a non-ASCII character, without ASCII punctuation around them."""
-    words = F.transform(F.regexp_extract_all(F.col(text), F.lit(_WORDS), F.lit(0)), lambda w: F.regexp_replace(w, rf"^[{_PUNCT}]+|[{_PUNCT}]+$", ""))
+    words = F.transform(F.regexp_extract_all(F.col(text), F.lit(_WORDS), F.lit(0)), lambda w: F.btrim(w, F.lit(_STRIP)))
     return docs.filter(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.explode(F.array_distinct(words)).alias("word"))
 
 
@@ -254,7 +253,8 @@ class Mojibake:
 
     def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text"):
         self.docs, self.doc_id, self.text = docs, doc_id, text
-        self.pairs = doc_words(docs, doc_id, text)
+        # written once: the texts are read and parted a single time
+        self.pairs = materialize(doc_words(docs, doc_id, text), "document-words")
         self.words = materialize(self.pairs.groupBy("word").agg(F.count("*").alias("docs")).filter("word <> ''"), "words")
         self._evidence: DataFrame | None = None
 
