@@ -16,6 +16,7 @@ from assize.functions import text as X
 from assize.functions.constants import MAX_HITS, PAGE_SIZE, SECTION_LABELS, SECTION_ORDER
 from assize.operators.corpus import Corpus
 from assize.plans.query import Query, fold_term, parse
+from assize.runtime import materialize
 
 
 @dataclass(frozen=True)
@@ -261,9 +262,22 @@ def export_rows(corpus: Corpus, rows: DataFrame, labels: DataFrame | None = None
     )
 
 
-def response(results: DataFrame, seconds: float) -> DataFrame:
-    """The search API's answer as one JSON text: totals, time, and results. Results are those of one page or below the hit cap."""
+def response(results: DataFrame, seconds: float, size: int = PAGE_SIZE) -> DataFrame:
+    """The search API's answer, a row per page of the ordered results: (page, json) with totals, time, and the results of that page.
+
+    Totals are those of all ``results``. Every result stands on one page; without any, page 1 is empty. Places in the order
+    are made of those within each range of the sort, so that no task holds all results.
+    """
     row = F.struct("case_ord", "case_id", "title", "date", "hits", "score")
-    return results.agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("total_hits"), F.count("*").alias("total_cases"), F.collect_list(row).alias("results")).select(
-        F.to_json(F.struct("total_hits", "total_cases", F.lit(round(seconds, 3)).alias("search_time"), "results")).alias("json")
-    )
+    rows = materialize(results.select(row.alias("row"), F.monotonically_increasing_id().alias("at")), "search-results")
+    rows = rows.withColumn("range", F.shiftright("at", 33))
+    # one row per range
+    sizes = rows.groupBy("range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.col("before") + F.col("at").bitwiseAND(F.lit(2**33 - 1))
+    rows = rows.join(F.broadcast(sizes.select("range", before.alias("before"))), "range").select((F.floor(place / size) + 1).alias("page"), F.struct("at", "row").alias("placed"))
+    totals = rows.agg(F.coalesce(F.sum("placed.row.hits"), F.lit(0)).alias("total_hits"), F.count("*").alias("total_cases"))
+    first = results.sparkSession.range(1, 2).select(F.col("id").alias("page"), F.lit(None).cast(rows.schema["placed"].dataType).alias("placed"))
+    pages = rows.unionByName(first).groupBy("page").agg(F.array_sort(F.collect_list("placed")).alias("placed"))
+    answer = F.struct("total_hits", "total_cases", F.lit(round(seconds, 3)).alias("search_time"), F.transform("placed", lambda x: x["row"]).alias("results"))
+    return pages.crossJoin(F.broadcast(totals)).select("page", F.to_json(answer).alias("json"))

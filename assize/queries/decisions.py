@@ -142,7 +142,7 @@ add("export_rows", lambda c: S.export_rows(c, S.hits(c, "judgment", limit=5000))
     f"""SELECT h.case_id, strftime(date, '%Y-%m-%d') AS date, array_to_string(types, ', ') AS document_types, CASE WHEN opinion THEN 'yes' ELSE 'no' END AS separate_opinion, outcome, array_to_string(v, '; ') AS violation,
     (SELECT count(*) FROM ci WHERE ci.case_ord = h.case_ord)::INT AS citations, {_case('section', SECTION_LABELS, 'section')} AS section, h.para_idx + 1 AS paragraph, text
     FROM (SELECT * FROM p WHERE contains(low, 'judgment') ORDER BY case_ord, local_idx, para_id LIMIT 5000) AS h JOIN c ON h.case_ord = c.case_ord""")
-add("search_response", lambda c: S.response(S.page(S.search(c, "court"), 1), 0.0))
+add("search_response", lambda c: S.response(S.search(c, "court", limit=None), 0.0))
 
 # --- statistics
 
