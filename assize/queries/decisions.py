@@ -138,7 +138,7 @@ add("section_islands", lambda c: S.section_blocks(c.paragraphs),
     SELECT case_ord, block, section, min(local_idx) AS first, max(local_idx) AS last, count(*) AS paragraphs FROM b GROUP BY ALL""".lstrip())
 add("highlight", lambda c: c.paragraphs.filter(F.lower("text").contains("judgment")).select("para_id", X.highlight(X.escape_html(F.col("text")), ["judgment", "the court", "court", "mark"]).alias("html")),
     """SELECT para_id, regexp_replace(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;'), '(the court|judgment|court|mark)', '<mark class="hl">\\1</mark>', 'gi') AS html FROM p WHERE contains(low, 'judgment')""")
-add("export_rows", lambda c: S.export_rows(c, S.hits(c, "judgment", limit=5000)).select("case_id", "date", "document_types", "separate_opinion", "outcome", "violation", "citations", "section", "paragraph", "text"),
+add("export_rows", lambda c: S.export_rows(c, S.hits(c, "judgment")).select("case_id", "date", "document_types", "separate_opinion", "outcome", "violation", "citations", "section", "paragraph", "text"),
     f"""SELECT h.case_id, strftime(date, '%Y-%m-%d') AS date, array_to_string(types, ', ') AS document_types, CASE WHEN opinion THEN 'yes' ELSE 'no' END AS separate_opinion, outcome, array_to_string(v, '; ') AS violation,
     (SELECT count(*) FROM ci WHERE ci.case_ord = h.case_ord)::INT AS citations, {_case('section', SECTION_LABELS, 'section')} AS section, h.para_idx + 1 AS paragraph, text
     FROM (SELECT * FROM p WHERE contains(low, 'judgment') ORDER BY case_ord, local_idx, para_id LIMIT 5000) AS h JOIN c ON h.case_ord = c.case_ord""")

@@ -39,3 +39,9 @@ def test_response_without_results(spark, tmp_path):
     corpus = Corpus.load(spark, write(spark, tmp_path / "t", [2, 1], "the court held"))
     (row,) = S.response(S.search(corpus, "zzz", limit=None), 0.1234).collect()
     assert row.page == 1 and json.loads(row.json) == {"total_hits": 0, "total_cases": 0, "search_time": 0.123, "results": []}
+
+
+def test_export_has_all_hits(spark, tmp_path):
+    d = write(spark, tmp_path / "t", [5100, 0, 3], "a judgment")
+    rows = catalog.queries()["export_rows"](spark, d).groupBy("case_id").agg(F.count("*").alias("n"), F.max("paragraph").alias("last")).collect()
+    assert {tuple(r) for r in rows} == {("c0", 5100, 5100), ("c2", 3, 3)}
