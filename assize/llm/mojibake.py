@@ -7,8 +7,10 @@ its chain, and the word behind the form is its verified original (garbling it gi
 There are three kinds of chains. *Multi*: UTF-8 bytes read in a one-byte encoding, once or more often. *Lossy*: bytes
 that were replaced by U+FFFD. *Single*: bytes of one one-byte encoding read in another.
 For the first two the forms of single characters are in the table, too, so that a name that occurs nowhere else is found;
-there, every unbroken run of non-ASCII characters must consist of such forms. Single-byte forms are ordinary letters, so only words tell:
-the original must be more frequent, and a document needs two such words of one chain.
+there, every unbroken run of non-ASCII characters must consist of such forms. Single-byte forms are ordinary letters, so only words tell,
+and a document needs two such words of one chain. That original and form are not taken for each other is judged by the document's own words,
+whatever the number of garbled documents: by how much more plausible its originals look (see ``plausible``) and, where they look alike,
+by how many of the words that the chain may have changed it explains. A word whose original is far more frequent counts without that.
 
 Nulls and empty texts hold no words; words are parted at ASCII white space, so very long texts need no more
 memory than themselves.
@@ -43,12 +45,14 @@ LOSSY = ["cp1252", "cp1250", "cp1251", "cp1254", "koi8-r", "iso8859-16", "mac_ro
 MAX_SIDE = 200_000
 #: Most distinct pairs of characters, and words with lost characters, that are broadcast to leave out impossible forms early; beyond, all forms are joined.
 MAX_PAIRS = 200_000
-#: Words of one chain of the third kind that a document needs, and how much more frequent originals must be.
+#: Words of one chain of the third kind that a document needs, and how much more frequent an original must be to need no other evidence.
 LEAST_WORDS, TIMES = 2, 3
 
 LETTERS = regex.compile(r"[\p{L}\p{M}]")
 CLEAN = regex.compile(r"[“”„‘’«»‹›\-–—(]*[\p{L}\p{M}]+(?:['’\-–][\p{L}\p{M}]+)*[“”„‘’«»‹›\-–—…)]*")
 ODD = regex.compile(r"[ªºµƒˆ˜]|\p{Ll}\p{Lu}")
+#: The most frequent Cyrillic letters, of about four fifths of ordinary text (fixed values).
+FREQUENT = frozenset("оеаинтсрвлкмдпу")
 LATIN, CYRILLIC, GREEK = (regex.compile(rf"\p{{Script={s}}}") for s in ("Latin", "Cyrillic", "Greek"))
 
 
@@ -110,7 +114,26 @@ def looks_clean(word: str) -> bool:
     return bool(LATIN.search(word)) + bool(CYRILLIC.search(word)) + bool(GREEK.search(word)) == 1
 
 
-_FORMS = T.StructType([T.StructField(n, T.StringType()) for n in ("form", "original", "chain")] + [T.StructField("original_docs", T.LongType())])
+def plausible(word: str) -> float:
+    """How ordinary a word looks, from 0 to 1, by fixed values alone: the corpus has no say in it."""
+    if not looks_clean(word):
+        return 0.0
+    letters = [c for c in word.casefold() if LETTERS.match(c)]
+    return sum(1.0 if c.isascii() or c in FREQUENT or GREEK.match(c) else 0.5 for c in letters) / len(letters)
+
+
+#: Chains of the third kind that are not undone by another one: their originals cannot be forms of it.
+ONE_WAY = [f"single:{a}>{b}" for a, b in SINGLE if (b, a) not in SINGLE]
+
+
+@functools.lru_cache(maxsize=64)
+def changed_by(chain: str) -> str:
+    """A pattern of the characters that a chain of the third kind may have put in the place of others."""
+    a, b = (_decoder(n) for n in CHAINS[chain][1])
+    return "[" + "".join(f"\\x{{{ord(y):x}}}" for x, y in zip(a, b) if x != y and y > "\x9f") + "]"
+
+
+_FORMS = T.StructType([T.StructField(n, T.StringType()) for n in ("form", "original", "chain")] + [T.StructField("original_docs", T.LongType()), T.StructField("gain", T.DoubleType())])
 
 
 class FormMaker:
@@ -170,11 +193,12 @@ class FormMaker:
                     if form is None or form == word:
                         continue
                     form = form.strip(_STRIP)
-                    key = (form, chain[:5])
+                    single = chain.startswith("single:")
+                    key = (form, chain if single else chain[:5])
                     held = form in self.damaged if lost and self.damaged is not None else self.possible(form)
                     if held and form and not form.isascii() and key not in seen:
                         seen.add(key)
-                        out.append((form, word, chain, n))
+                        out.append((form, word, chain, n, round(plausible(word) - plausible(form), 6) if single else 0.0))
                 if len(out) >= 20_000:
                     yield pd.DataFrame(out, columns=_FORMS.names)
                     out = []
@@ -246,6 +270,8 @@ class CharacterForms:
 
 
 _EVIDENCE = T.StructType([T.StructField(n, T.StringType()) for n in ("word", "original", "chain")])
+#: Of words of the third kind also how often original and form occur and how much more plausible the original is.
+_WEIGHED = ["original_docs", "docs", "gain"]
 
 
 class Mojibake:
@@ -269,7 +295,7 @@ class Mojibake:
         return None if len(values) > MAX_PAIRS else [r[0] for r in values]
 
     def evidence(self) -> DataFrame:
-        """(word, original, chain): every word of the corpus that is a garbled form."""
+        """(word, original, chain, original_docs, docs, gain): every word of the corpus that is a garbled form; of the third kind once for each chain."""
         if self._evidence is None:
             n = int(self.words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
             alphabet = self.alphabet()
@@ -277,8 +303,9 @@ class Mojibake:
             forms = self.words.repartition(n, "word").mapInPandas(maker.run, _FORMS)
             joined = self.words.join(forms, F.col("word") == F.col("form"))
             single = F.col("chain").startswith("single:")
-            joined = joined.filter(~single | (F.col("original_docs") >= TIMES * F.col("docs")))
-            kinds = joined.groupBy("word", F.substring("chain", 1, 5).alias("kind"))
+            joined = materialize(joined, "garbled-forms")
+            readings = joined.filter(single).groupBy("word", "chain").agg(F.max_by(F.struct("original", *_WEIGHED), F.struct("original_docs", "original")).alias("b")).select("word", "b.original", "chain", *[f"b.{c}" for c in _WEIGHED])
+            kinds = joined.filter(~single | (F.col("original_docs") >= TIMES * F.col("docs"))).groupBy("word", F.substring("chain", 1, 5).alias("kind"))
             by_word = kinds.agg(F.max_by(F.struct("original", "chain"), F.struct("original_docs", "original", "chain")).alias("b"), F.min("original").alias("low"), F.max("original").alias("high"))
             # where characters were lost, only the one word that fits is restored
             unclear = (F.col("kind") == "lossy") & (F.col("low") != F.col("high"))
@@ -301,17 +328,30 @@ class Mojibake:
             # an original that is garbled itself leads on to its own
             further = direct.select(F.col("word").alias("w2"), F.col("original").alias("o2")).filter("w2 <> o2")
             further = further.groupBy("w2").agg(F.min("o2").alias("o2"))
-            step = direct.join(further, F.col("original") == F.col("w2"), "left").select("word", F.coalesce("o2", "original").alias("original"), "chain")
+            rows = direct.filter(~F.col("chain").startswith("single:")).unionByName(readings, allowMissingColumns=True)
+            step = rows.join(further, F.col("original") == F.col("w2"), "left").select("word", F.coalesce("o2", "original").alias("original"), "chain", *_WEIGHED)
             self._evidence = materialize(step, "garbled-words")
         return self._evidence
 
     def hits(self) -> DataFrame:
         """(doc_id, word, original, chain) in documents with enough evidence."""
         found = materialize(self.pairs.join(broadcast_if_small(self.evidence(), MAX_SIDE, "garbled"), "word"), "garbled-pairs")
-        sure = found.filter(~F.col("chain").startswith("single:"))
-        single = found.filter(F.col("chain").startswith("single:"))
-        enough = single.groupBy("doc_id", "chain").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_WORDS).select("doc_id", "chain")
-        return sure.unionByName(single.join(enough, ["doc_id", "chain"]).select(*sure.columns))
+        columns = ["doc_id", "word", "original", "chain"]
+        sure = found.filter(~F.col("chain").startswith("single:")).select(*columns)
+        single = found.filter(F.col("chain").startswith("single:")).withColumn("frequent", F.col("original_docs") >= TIMES * F.col("docs"))
+        counts = [F.count("*").alias("n"), F.count_if("frequent").alias("frequent"), F.count_if(F.col("gain") > 0).alias("better"), F.sum("gain").alias("gain"), (F.sum("original_docs") > F.sum("docs")).alias("more")]
+        chains = materialize(single.groupBy("doc_id", "chain").agg(*counts).filter(F.col("n") >= LEAST_WORDS), "garbled-chains")
+        known = (F.col("frequent") >= LEAST_WORDS) | ((F.col("better") >= LEAST_WORDS) & (F.round("gain", 4) > 0))
+        # originals and forms look alike: the chain must not be the other way round, and explain half of the words that it may have changed
+        alike = chains.filter(~known & (F.round("gain", 4) >= 0) & (F.col("chain").isin(ONE_WAY) | F.col("more")))
+        pattern = functools.reduce(lambda c, name: c.when(F.col("chain") == name, F.col("word").rlike(changed_by(name))), [k for k, (kind, _) in CHAINS.items() if kind == "single"], F.when(F.lit(False), False))
+        changed = self.pairs.join(alike.select("doc_id", "chain", "n"), "doc_id").filter(pattern).groupBy("doc_id", "chain").agg(F.count("*").alias("changed"), F.first("n").alias("n"))
+        enough = chains.filter(known).select("doc_id", "chain", "n").unionByName(changed.filter(F.col("n") * 2 >= F.col("changed")).select("doc_id", "chain", "n"))
+        # a passage in another language may hold such words rightly decoded: there the original is the rarer one
+        meant = F.col("frequent") | (F.col("gain") > 0) | (F.col("original_docs") >= F.col("docs")) | ((F.col("gain") == 0) & F.col("chain").isin(ONE_WAY))
+        # of several chains the one that explains most of the document
+        words = single.filter(meant).join(enough, ["doc_id", "chain"]).groupBy("doc_id", "word").agg(F.max_by(F.struct("original", "chain"), F.struct("n", "original_docs", "original", "chain")).alias("b"))
+        return sure.unionByName(words.select("doc_id", "word", "b.original", "b.chain"))
 
     def found(self) -> DataFrame:
         """(doc_id) of every document with garbled text."""
