@@ -26,7 +26,6 @@ _ALONE = rf"(?i)(?<![^ {CUT}])(?:{'|'.join(CONJUNCTIONS)})(?![^ {CUT}])"
 
 
 def delimiters(df: DataFrame, value: str, source: str) -> DataFrame:
-    """(source, delimiter, rows, pieces, consistency, regularity, score) of all candidates, best first within a source when sorted by score."""
     masked = F.regexp_replace(F.col(value), QUOTED, "Q1")
     rows = df.filter(F.col(value).isNotNull()).select(F.col(source).alias("source"), masked.alias("m"))
     chars = F.regexp_extract_all("m", F.lit(rf"[^{ALPHABET}]"), F.lit(0))
