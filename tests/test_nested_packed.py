@@ -5,6 +5,7 @@ import json
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from assize.operators import packed
 from assize.operators.nested import DecisionTables, nodes_of, shred, unshred
 from assize.operators.packed import split_packed
 
@@ -62,3 +63,24 @@ def test_split_null_source_and_empty(spark):
     assert split_packed(df.filter("false"), "article_no", "source_file", ["case_ord"]).count() == 0
     clash = df.withColumnRenamed("case_ord", "pos")
     assert split_packed(clash, "article_no", "source_file", ["pos"]).columns == ["pos", "_pos", "article"]
+
+
+def test_only_inferred_delimiters_part(spark, monkeypatch):
+    df = spark.createDataFrame([(i, v, s) for i, (v, s) in enumerate([("6; 8", "a"), ("6, 8", "b"), ("6 and 8", "a"), ("5  7", "b"), ("1;and;2", "c"), ("3 et'x'", "c")])], "case_ord long, article_no string, source_file string")
+    got = {}
+    for r in split_packed(df, "article_no", "source_file", ["case_ord"]).orderBy("case_ord", "pos").collect():
+        got.setdefault(r.case_ord, []).append(r.article)
+    assert got == {0: ["6", "8"], 1: ["6", "8"], 2: ["6", "8"], 3: ["5", "7"], 4: ["1", "2"], 5: ["3", "x"]}
+    # without a candidate of a sufficient score nothing is split
+    monkeypatch.setattr(packed, "LEAST_SCORE", 2.0)
+    whole = [r.article for r in split_packed(df.filter("case_ord < 4"), "article_no", "source_file", ["case_ord"]).orderBy("case_ord").collect()]
+    assert whole == ["6; 8", "6, 8", "6 and 8", "5  7"]
+
+
+def test_signs_of_running_text_are_no_delimiters(spark):
+    text = "The applicant complained under the provisions named above that the length of his detention was excessive"
+    df = spark.createDataFrame([(i, f"{text} {i}, {text}", "prose") for i in range(5)] + [(9, "6, 8", "lists")], "case_ord long, article_no string, source_file string")
+    rows = split_packed(df, "article_no", "source_file", ["case_ord"]).groupBy("case_ord").count().collect()
+    assert {r.case_ord: r["count"] for r in rows} == {0: 1, 1: 1, 2: 1, 3: 1, 4: 1, 9: 2}
+    scores = {(r.source, r.delimiter): r.score for r in packed.delimiters(df, "article_no", "source_file").collect()}
+    assert scores["prose", ","] < packed.LEAST_SCORE <= scores["lists", ","]
