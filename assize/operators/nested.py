@@ -8,13 +8,15 @@ children, pivoted by label, and with their parent entities.
 All joins are on (record, node), so a record of a third of all nodes is spread like any other data.
 
 Defined results: a payload that is null, no valid JSON (NaN and Infinity are none) or no object has no nodes; null entries have no node, but count
-for the positions of others; of repeated keys the last one holds; unpaired surrogates become U+FFFD.
+for the positions of others; of repeated keys the last one holds; unpaired surrogates become U+FFFD. Records of any depth and integers of any length are kept.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,8 +31,83 @@ NODES = T.StructType([
 ])
 
 
+class Digits(str):
+    """An integer of more digits than Python turns into a number; kept as its text."""
+
+
 def _no_constant(name: str) -> None:
-    raise ValueError(name)
+    raise json.JSONDecodeError(name, name, 0)
+
+
+_TOKEN = re.compile(r"[ \t\n\r]*(?:([{}\[\],:])|(\")|(-?(?:0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?)|(true|false|null))")
+_WORDS = {"true": True, "false": False, "null": None}
+
+
+def _parse_steps(text: str):
+    """The value of a JSON text, with a stack of its own: of any depth and with integers of any length."""
+    at, last = 0, len(text)
+    root: list = []
+    stack: list = [root]
+    keys: list = [None]
+    # what may come next: a value, an end of an empty array or object, a separator
+    wants = "value"
+
+    def put(value) -> None:
+        if isinstance(stack[-1], list):
+            stack[-1].append(value)
+        else:
+            stack[-1][keys[-1]] = value
+
+    while True:
+        m = _TOKEN.match(text, at)
+        if m is None:
+            break
+        at, sign = m.end(), m[1]
+        if sign and sign in "{[" and wants in ("value", "first value"):
+            made: dict | list = {} if sign == "{" else []
+            put(made)
+            stack.append(made)
+            keys.append(None)
+            wants = "first key" if sign == "{" else "first value"
+        elif sign and sign in "}]" and len(stack) > 1 and (wants == "separator" or wants == ("first key" if sign == "}" else "first value")) and isinstance(stack[-1], dict) == (sign == "}"):
+            stack.pop()
+            keys.pop()
+            wants = "separator"
+        elif sign == "," and wants == "separator" and len(stack) > 1:
+            wants = "key" if isinstance(stack[-1], dict) else "value"
+        elif sign == ":" and wants == "colon":
+            wants = "value"
+        elif m[2] and wants in ("key", "first key"):
+            keys[-1], at = scanstring(text, at)
+            wants = "colon"
+        elif not sign and wants in ("value", "first value"):
+            if m[2]:
+                value, at = scanstring(text, at)
+            elif m[6]:
+                value = _WORDS[m[6]]
+            elif m[4] or m[5]:
+                value = float(m[3])
+            else:
+                value = int(m[3]) if len(m[3]) <= 4000 else Digits(m[3])
+            put(value)
+            wants = "separator"
+        else:
+            raise json.JSONDecodeError("unexpected", text, at)
+        if wants == "separator" and len(stack) == 1:
+            break
+    if wants != "separator" or len(stack) > 1 or text[at:].strip(" \t\n\r"):
+        raise json.JSONDecodeError("incomplete", text, min(at, last))
+    return root[0]
+
+
+def parse_json(text: str):
+    """The value of a JSON text; JSONDecodeError if it is none (NaN and Infinity are none)."""
+    try:
+        return json.loads(text, parse_constant=_no_constant)
+    except json.JSONDecodeError:
+        raise
+    except (ValueError, RecursionError):  # valid so far, but too many digits or too deep for the usual parser
+        return _parse_steps(text)
 
 
 def _text(s: str) -> str:
@@ -41,8 +118,8 @@ def _entries(value, listed: bool) -> list:
     """The entries of a value: of an array its elements; where a list is due, JSON text of an array is one, and anything else one entry."""
     if isinstance(value, str) and listed and value.lstrip()[:1] == "[":
         try:
-            parsed = json.loads(value, parse_constant=_no_constant)
-        except (ValueError, RecursionError):
+            parsed = parse_json(value)
+        except json.JSONDecodeError:
             parsed = None
         if isinstance(parsed, list):
             return parsed
@@ -52,8 +129,8 @@ def _entries(value, listed: bool) -> list:
 def nodes_of(payload: str, lists: frozenset[str]) -> list[tuple]:
     """(node, parent, label, ordinal, kind, scalar) of every non-null value; the root object is node 0."""
     try:
-        root = json.loads(payload, parse_constant=_no_constant)
-    except (ValueError, RecursionError):
+        root = parse_json(payload)
+    except json.JSONDecodeError:
         return []
     if not isinstance(root, dict):
         return []
@@ -71,8 +148,8 @@ def nodes_of(payload: str, lists: frozenset[str]) -> list[tuple]:
                     todo.append((node, e))
                 elif isinstance(e, bool):
                     kind, scalar = "boolean", "true" if e else "false"
-                elif isinstance(e, int):
-                    kind, scalar = "integer", f"{e:d}" if abs(e) < 10**4000 else "?"
+                elif isinstance(e, int | Digits):
+                    kind, scalar = "integer", str(e)
                 elif isinstance(e, float):
                     kind, scalar = "number", repr(e)
                 else:

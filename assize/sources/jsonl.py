@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,9 +25,24 @@ CASE_SCHEMA = T.StructType(
 )
 
 
+#: The parser's own limits, out of the way: records of any depth and numbers of any length are read.
+LIMITS = {"maxNestingDepth": str(2**31 - 1), "maxNumLen": str(2**31 - 1), "maxStringLen": str(2**31 - 1)}
+_ANY = T.StructType(_strings("case_id", "_corrupt"))
+
+
+def holds_object(value: Column) -> Column:
+    """Whether a trimmed text is a JSON object; one of fields with other types than wanted is."""
+    parsed = F.from_json(value, _ANY, LIMITS | {"columnNameOfCorruptRecord": "_corrupt"})
+    return F.coalesce(value.startswith("{") & parsed["_corrupt"].isNull(), F.lit(False))
+
+
+def record_of(value: Column, schema: T.StructType = CASE_SCHEMA) -> Column:
+    return F.from_json(value, schema, LIMITS)
+
+
 def read_strict(spark: SparkSession, path: str, schema: T.StructType = CASE_SCHEMA) -> DataFrame:
     """One object per line; blank lines are skipped, a bad line fails the read."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    return spark.read.schema(schema).options(**LIMITS).option("mode", "FAILFAST").json(path)
 
 
 def read_tolerant(spark: SparkSession, path: str, schema: T.StructType = CASE_SCHEMA) -> tuple[DataFrame, DataFrame]:
@@ -37,10 +52,9 @@ def read_tolerant(spark: SparkSession, path: str, schema: T.StructType = CASE_SC
     """
     lines = spark.read.text(path).filter(X.strip(F.col("value")) != "")
     value = X.strip(F.col("value"))
-    parsed = lines.select(value.alias("value"), F.monotonically_increasing_id().alias("line_order"), F.try_parse_json(value).alias("v"))
-    valid = F.col("v").isNotNull() & F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
-    counts = parsed.agg(F.count("*").alias("total"), F.count_if(valid).alias("valid")).withColumn("invalid", F.col("total") - F.col("valid"))
-    rows = parsed.filter(valid).select("line_order", F.from_json("value", schema).alias("r")).select("line_order", "r.*")
+    parsed = lines.select(value.alias("value"), F.monotonically_increasing_id().alias("line_order"), holds_object(value).alias("valid"))
+    counts = parsed.agg(F.count("*").alias("total"), F.count_if("valid").alias("valid")).withColumn("invalid", F.col("total") - F.col("valid"))
+    rows = parsed.filter("valid").select("line_order", record_of(F.col("value"), schema).alias("r")).select("line_order", "r.*")
     return rows, counts
 
 

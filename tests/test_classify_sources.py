@@ -120,6 +120,22 @@ def test_stream(spark, tmp_path):
     assert spark.table("sections").first().n == 1
 
 
+def test_stream_keeps_every_object(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    one = '{"case_id": "1", "paragraphs": [{"text": "t"}]}'
+    deep = '{"case_id": "d", "x": ' + "[" * 5000 + "]" * 5000 + ', "n": ' + "7" * 5000 + ', "violation": "6", "paragraphs": [{"text": "deep"}]}'
+    lines = [one, "{bad", "[1]", "null", "5", "", '{"title": "no id", "paragraphs": [{"text": "u"}]}', one, '{"case_id": " ", "paragraphs": [{"text": "v"}]}', deep]
+    (tmp_path / "in/a.json").write_text("\n".join(lines) + "\n")
+    cases = ingest.stream_cases(spark, str(tmp_path / "in"))
+    ingest.write_stream(cases.select("case_ord", "case_id", "title"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(rows) == 5 == len({r.case_ord for r in rows})
+    assert sorted(r.case_id if r.case_id in ("1", "d") else "made" for r in rows) == ["1", "1", "d", "made", "made"]
+    assert all(r.case_id == f"case-{r.case_ord}" for r in rows if r.case_id not in ("1", "d"))
+    records, counts = jsonl.read_tolerant(spark, str(tmp_path / "in"))
+    assert records.count() == 5 and tuple(counts.first()) == (9, 5, 4)
+
+
 def test_cli_and_records(spark, tmp_path):
     from assize import cli
     from assize.operators import search as S

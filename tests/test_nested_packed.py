@@ -5,7 +5,7 @@ import json
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from assize.operators import packed
+from assize.operators import nested, packed
 from assize.operators.nested import DecisionTables, nodes_of, shred, unshred
 from assize.operators.packed import split_packed
 
@@ -19,6 +19,34 @@ def test_round_trip(record):
     assert unshred(nodes_of(json.dumps(record), frozenset())) == record
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=5), lambda v: st.lists(v, max_size=3) | st.dictionaries(st.text(max_size=3), v, max_size=3), max_leaves=10), st.integers(0, 60), st.sampled_from(list('{}[],:"1a\\ ')))
+def test_both_parsers_agree(value, at, junk):
+    text = json.dumps(value)
+    assert nested._parse_steps(text) == value == nested.parse_json(text)
+    for broken in (text[:at] + junk + text[at:], text[: max(0, len(text) - 1 - at)]):
+        try:
+            want = json.loads(broken, parse_constant=nested._no_constant)
+        except json.JSONDecodeError:
+            want = json
+        try:
+            got = nested._parse_steps(broken)
+        except json.JSONDecodeError:
+            got = json
+        assert got == want
+
+
+def test_huge_numbers_and_deep_nesting(spark):
+    deep = 150_000
+    payloads = [
+        '{"paragraphs": [{"n": ' + "7" * 6000 + ', "section": "A", "para_idx": ' + "1" * 5000 + "}]}",
+        '{"x": ' + "[" * deep + "]" * deep + ', "paragraphs": ["p"]}', '{"x": ' + '{"a":' * deep + "1" + "}" * deep + ', "paragraphs": ["p"]}', "[" * deep + "]" * deep, "[" * deep, '{"x": ' + "7" * 6000 + ",}",
+    ]
+    assert children(spark, payloads) == [(0, "paragraph", "0", "a", 0), (1, "paragraph", "0", "unknown", 0), (2, "paragraph", "0", "unknown", 0)]
+    numbers = [n for n in nodes_of(payloads[0], frozenset(["paragraphs"])) if n[2] == "n"]
+    assert numbers[0][4:] == ("integer", "7" * 6000)
+
+
 def children(spark, payloads):
     df = spark.createDataFrame(list(enumerate(payloads)), "record_no long, payload string")
     return sorted(tuple(r) for r in DecisionTables(df).children().collect())
