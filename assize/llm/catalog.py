@@ -26,6 +26,10 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return _lines(spark, d).cleaned("para_id")
 
 
+def p1_clean_near(spark: SparkSession, d: str) -> DataFrame:
+    return _lines(spark, d).cleaned("para_id", near=True)
+
+
 def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
     return _lines(spark, d).report()
 
@@ -108,7 +112,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_clean, p1_clusters, p3_found, p3_collapsed, p4_found, p4_normalized, p4_same_looking, p5_found, p5_terms, p5_ngrams, p7_found, p7_report, p8_mix, p8_report, p9_found, p9_restored]
+    own = [p1_found, p1_clean, p1_clean_near, p1_clusters, p3_found, p3_collapsed, p4_found, p4_normalized, p4_same_looking, p5_found, p5_terms, p5_ngrams, p7_found, p7_report, p8_mix, p8_report, p9_found, p9_restored]
     return {f.__name__: f for f in own}
 
 

@@ -63,6 +63,52 @@ def test_near_duplicates_form_one_cluster(spark):
     assert max(r.docs for r in report) == 40
 
 
+def test_lines_come_through_the_clusters(spark):
+    rows = rows_for(2)
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], SCHEMA)
+    op = RepeatedLines(df, "text", "source_file", "case_ord")
+    assert op.found("para_id").count() == len(brute(rows)) > 50
+    off = RepeatedLines(df, "text", "source_file", "case_ord")
+    off._made["clusters"] = spark.createDataFrame([], "source string, template string, core string")
+    assert off.found("para_id").count() == 0
+
+
+def test_case_parts_no_line(spark):
+    # each spelling alone is in too few documents, and their templates differ
+    spellings = ["Printed by Anna Bell", "printed by Anna bell", "printed by anna bell", "Printed By Anna Bell"]
+    rows = [(i, i, "s", spellings[i % 4]) for i in range(8)] + [(i, i, "s", f"line of its own words {chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(8, 60)]
+    df = spark.createDataFrame([(*r, "", 0) for r in rows], SCHEMA)
+    got = {tuple(r) for r in RepeatedLines(df, "text", "source_file", "case_ord").found("para_id").collect()}
+    assert got == brute(rows) == {(i, 1) for i in range(8)}
+
+
+def test_near_duplicates_are_removed(spark):
+    """Recall and precision of cleaning by clusters against all pairs of templates."""
+    rng = random.Random(9)
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))  # noqa: E731  (digits would be masked)
+    vocabulary = [word(i) for i in range(400)]
+    notices = [[rng.choice(vocabulary) for _ in range(rng.randrange(20, 40))] for _ in range(12)]
+    lines = []
+    for i in range(900):
+        words = list(rng.choice(notices)) if rng.random() < 0.5 else [rng.choice(vocabulary) for _ in range(rng.randrange(8, 40))]
+        if rng.random() < 0.7:  # one word of the notice is another one
+            words[rng.choice([0, 1, -1, -2])] = "v" + word(i)
+        lines.append(" ".join(words))
+    rows = [(i, i % 300, "s", "\n".join(lines[3 * i : 3 * i + 3])) for i in range(300)] + [(9999, 1, None, lines[0]), (9998, 1, "s", None)]
+    df = spark.createDataFrame([(*r, "", 0) for r in rows], SCHEMA)
+    sets = [shingles(x.split(), 5) for x in lines]
+    wanted = set()
+    for n, own in enumerate(sets):
+        close = {(m // 3) % 300 for m, other in enumerate(sets) if jaccard(own, other) >= 0.8}
+        if len(close) >= 6:
+            wanted.add(n)
+    made = {r.para_id: (r.text, r.removed) for r in RepeatedLines(df, "text", "source_file", "case_ord").cleaned("para_id", near=True).collect()}
+    assert len(made) == 302 and made[9999] == (lines[0], 0) and made[9998] == (None, 0)
+    gone = {3 * i + k for i in range(300) for k in range(3) if lines[3 * i + k] not in made[i][0].split("\n")}
+    assert sum(r for _, r in made.values()) == len(gone)
+    assert len(gone & wanted) >= 0.9 * len(wanted) > 200 and len(gone - wanted) <= 0.05 * len(gone)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     op = RepeatedLines(df, "text", "source_file", "case_ord")
