@@ -1,14 +1,16 @@
 """Problem 9: text that was decoded with the wrong character encoding.
 
-The distinct words of the corpus that look clean are put through all encoding chains; the words and characters
-that come out are hash-joined with the words of the documents. A word that equals a garbled form is evidence of
+The distinct clean words of the corpus are put through all encoding chains, and the garbled forms that come out are hash-joined with the
+words of the documents. A word that equals a garbled form is evidence of
 its chain, and the word behind the form is its verified original (garbling it gives exactly what was found).
 
 There are three kinds of chains. *Multi*: UTF-8 bytes read in a one-byte encoding, once or more often. *Lossy*: bytes
 that were replaced by U+FFFD. *Single*: bytes of one one-byte encoding read in another.
-For the first two the forms of single characters are in the table, too, so that a name that occurs nowhere else is found;
-there, every unbroken run of non-ASCII characters must consist of such forms. Single-byte forms are ordinary letters, so only words tell,
-and a document needs two such words of one chain. That original and form are not taken for each other is judged by the document's own words,
+A name that occurs nowhere else has no clean word. For it originals are proposed: every unbroken run of non-ASCII characters is read back, as often as that
+goes on, and what comes out joins the clean words. Its forms are generated along the same chains as those of words and hash-joined with
+the runs of the documents' words, so that here, too, only what garbling gives exactly is evidence. Of a single lost character the form is U+FFFD itself.
+Single-byte forms are ordinary letters, so only words tell,
+and a document needs two such words of one chain, or one that cannot be a word as it stands. That original and form are not taken for each other is judged by the document's own words,
 whatever the number of garbled documents: by how much more plausible its originals look (see ``plausible``) and, where they look alike,
 by how many of the words that the chain may have changed it explains. A word whose original is far more frequent counts without that.
 
@@ -42,11 +44,12 @@ SINGLE = [
 ]
 LOSSY = ["cp1252", "cp1250", "cp1251", "cp1254", "koi8-r", "iso8859-16", "mac_roman"]
 
-MAX_SIDE = 200_000
-#: Most distinct pairs of characters, and words with lost characters, that are broadcast to leave out impossible forms early; beyond, all forms are joined.
-MAX_PAIRS = 200_000
+#: Most distinct pairs of characters, and most bytes of words with lost characters, that are broadcast to leave out impossible forms early; beyond, all forms are joined.
+MAX_PAIRS, MAX_DAMAGED_BYTES = 200_000, 16 << 20
 #: Words of one chain of the third kind that a document needs, and how much more frequent an original must be to need no other evidence.
 LEAST_WORDS, TIMES = 2, 3
+#: How much more plausible an original must be than a form that is no word, for one word to be enough.
+SURE_GAIN = 0.75
 
 LETTERS = regex.compile(r"[\p{L}\p{M}]")
 CLEAN = regex.compile(r"[“”„‘’«»‹›\-–—(]*[\p{L}\p{M}]+(?:['’\-–][\p{L}\p{M}]+)*[“”„‘’«»‹›\-–—…)]*")
@@ -212,61 +215,60 @@ def _pairs_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"pair": sorted(found)})
 
 
-class CharacterForms:
-    """The garbled forms of single characters, by chain of the first two kinds."""
-
-    RUN = regex.compile(r"[^\x00-\x7f]+")
+class Originals:
+    """Proposes what runs of non-ASCII characters may have been, by the forms of single characters under the chains of the first kind."""
 
     def __init__(self, characters: list[str]):
-        self.forms: dict[str, dict[str, str]] = {}
-        for chain, (kind, _) in CHAINS.items():
-            if kind == "multi":
-                table = {}
-                for c in characters:
-                    form = garble(c, chain)
-                    if len(form) > 1 and not any(ch.isascii() for ch in form):
-                        table.setdefault(form, c)
-                self.forms[chain] = table
-        self.longest = {k: max(map(len, t), default=0) for k, t in self.forms.items()}
-
-    def decode_run(self, run: str, chain: str) -> str | None:
+        self.chains = [c for c, (kind, _) in CHAINS.items() if kind == "multi"]
+        self.forms: list[dict[str, str]] = []
+        self.starts: dict[str, list[int]] = {}
+        for i, chain in enumerate(self.chains):
+            table: dict[str, str] = {}
+            for c in characters:
+                form = garble(c, chain)
+                if len(form) > 1 and not any(ch.isascii() for ch in form):
+                    table.setdefault(form, c)
+            self.forms.append(table)
+            for start in {f[:2] for f in table}:
+                self.starts.setdefault(start, []).append(i)
+        self.longest = [max(map(len, t), default=0) for t in self.forms]
+
+    def read_back(self, run: str, i: int) -> str | None:
         """The run read back form by form; None unless all of it consists of forms."""
-        table, most, out, i = self.forms[chain], self.longest[chain], [], 0
-        while i < len(run):
-            for n in range(min(most, len(run) - i), 1, -1):
-                c = table.get(run[i : i + n])
+        table, most, out, at = self.forms[i], self.longest[i], [], 0
+        while at < len(run):
+            for n in range(min(most, len(run) - at), 1, -1):
+                c = table.get(run[at : at + n])
                 if c is not None:
                     out.append(c)
-                    i += n
+                    at += n
                     break
             else:
                 return None
         return "".join(out)
 
-    def once(self, word: str) -> tuple[str, str] | None:
-        """(word read back, chain) of the chain that explains most of the word's runs."""
-        best = None
-        runs = self.RUN.findall(word)
-        for chain in self.forms:
-            made = [self.decode_run(r, chain) for r in runs]
-            good = sum(len(r) for r, m in zip(runs, made) if m is not None)
-            if good and (best is None or good > best[0]):
-                it = iter(made)
-                best = good, self.RUN.sub(lambda m: next(it) or m[0], word), chain
-        return best and best[1:]
-
-    def restore(self, word: str) -> tuple[str, str] | None:
-        """(original, first chain), read back as often as it takes; U+FFFD has no original."""
-        found = self.once(word)
-        if found is None:
-            return (word, "lossy:cp1252") if "�" in word else None
-        text, chain = found
-        for _ in range(3):
-            more = self.once(text)
-            if more is None:
-                break
-            text = more[0]
-        return text, chain
+    def proposals(self, run: str) -> list[tuple[str, str]]:
+        """(original, chains that lead to the run, the last one first) of every reading, read back until nothing changes; each step is shorter than the one before."""
+        out, seen, todo = [], {run}, [(run, ())]
+        while todo:
+            text, path = todo.pop()
+            ends = True
+            for i in self.starts.get(text[:2], ()):
+                before = self.read_back(text, i)
+                if before is not None:
+                    ends = False
+                    if before not in seen:
+                        seen.add(before)
+                        todo.append((before, (*path, self.chains[i])))
+            if ends and path:
+                out.append((text, "\n".join(path)))
+        return out
+
+
+def _garbled_along(original: str, path: str) -> str:
+    for chain in reversed(path.split("\n")):
+        original = garble(original, chain)
+    return original
 
 
 _EVIDENCE = T.StructType([T.StructField(n, T.StringType()) for n in ("word", "original", "chain")])
@@ -289,18 +291,65 @@ class Mojibake:
         rows = self.words.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c")).filter("c > '\x7f'").distinct().collect()
         return sorted(r.c for r in rows)
 
-    def _few(self, column: str, rows: DataFrame) -> list[str] | None:
-        """The values if there are at most MAX_PAIRS, else None: then forms are left to the join."""
-        values = rows.select(column).head(MAX_PAIRS + 1)
-        return None if len(values) > MAX_PAIRS else [r[0] for r in values]
+    def _pairs(self) -> list[str] | None:
+        """The pairs of characters of the corpus if there are at most MAX_PAIRS, else None: then forms are left to the join."""
+        rows = self.words.select("word").mapInPandas(_pairs_of, "pair string").distinct().head(MAX_PAIRS + 1)
+        return None if len(rows) > MAX_PAIRS else [r.pair for r in rows]
+
+    def _damaged(self) -> list[str] | None:
+        """The words with lost characters if they are at most MAX_DAMAGED_BYTES, else None."""
+        rows = self.words.select("word").filter(F.col("word").contains("�"))
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("word") + 64), F.lit(0))).first()[0]
+        return [r.word for r in rows.collect()] if size <= MAX_DAMAGED_BYTES else None
+
+    def _by_characters(self, alphabet: list[str]) -> DataFrame:
+        """(word, original, chain): words with a run of characters that is a garbled form of a proposed original."""
+        sc = self.words.sparkSession.sparkContext
+        # names may hold letters that the corpus shows garbled only
+        written = {c for name in {n for _, names in CHAINS.values() for n in names} for c in _decoder(name) if c > "\x9f"}
+        shared = sc.broadcast(Originals(sorted(written.union(alphabet) - {"�"})))
+        # forms have two characters and more, but for that of a lost character
+        several = F.regexp_extract_all("word", F.lit(r"[^\x00-\x7F]{2,}"), F.lit(0))
+        lost = F.when(F.col("word").contains("�"), F.array(F.lit("�"))).otherwise(F.array().cast("array<string>"))
+        runs = self.words.filter(F.col("word").rlike("[^\\x00-\\x7F]{2}|�")).select("word", F.explode(F.array_distinct(F.concat(several, lost))).alias("run"))
+
+        def propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                made = {p for run in b["run"] for p in shared.value.proposals(run)}
+                yield pd.DataFrame(sorted(made), columns=["original", "path"])
+
+        def generate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield b.assign(form=[_garbled_along(o, p) for o, p in zip(b["original"], b["path"])])
+
+        originals = runs.select("run").mapInPandas(propose, "original string, path string").distinct()
+        made = originals.mapInPandas(generate, "original string, path string, form string")
+        for chain, (kind, _) in CHAINS.items():
+            # what a lost character was is not known: the form of any one is its own original
+            if kind == "lossy" and any(garble(c, chain) == "�" for c in alphabet):
+                made = made.unionByName(made.sparkSession.createDataFrame([("�", chain, "�")], "original string, path string, form string"))
+                break
+        hit = runs.join(broadcast_if_small(made, label="forms-of-runs"), F.col("run") == F.col("form"))
+        order = F.array_position(F.array(*[F.lit(c) for c in CHAINS]), F.split("path", "\n")[0])
+        # of several chains the one that explains most of the word
+        ways = hit.groupBy("word", "path").agg(F.sum(F.length("run")).alias("explained"), F.collect_list(F.struct("run", "original")).alias("runs"))
+        best = ways.groupBy("word").agg(F.max_by(F.struct("path", "runs"), F.struct("explained", -order, "path")).alias("b")).select("word", "b.*")
+
+        @F.pandas_udf(T.StringType())
+        def swapped(words: pd.Series, pairs: pd.Series) -> pd.Series:
+            run = regex.compile(r"[^\x00-\x7f]+")
+            tables = [{p["run"]: p["original"] for p in row} for row in pairs]
+            return pd.Series([run.sub(lambda m, t=t: t.get(m[0], m[0]), w) for w, t in zip(words, tables)], dtype=object)
+
+        return best.select("word", swapped("word", "runs").alias("original"), F.split("path", "\n")[0].alias("chain"))
 
     def evidence(self) -> DataFrame:
         """(word, original, chain, original_docs, docs, gain): every word of the corpus that is a garbled form; of the third kind once for each chain."""
         if self._evidence is None:
             n = int(self.words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
             alphabet = self.alphabet()
-            maker = FormMaker(alphabet, self._few("pair", self.words.select("word").mapInPandas(_pairs_of, "pair string").distinct()), self._few("word", self.words.filter(F.col("word").contains("�"))))
-            forms = self.words.repartition(n, "word").mapInPandas(maker.run, _FORMS)
+            maker = self.words.sparkSession.sparkContext.broadcast(FormMaker(alphabet, self._pairs(), self._damaged()))
+            forms = self.words.repartition(n, "word").mapInPandas(lambda batches: maker.value.run(batches), _FORMS)
             joined = self.words.join(forms, F.col("word") == F.col("form"))
             single = F.col("chain").startswith("single:")
             joined = materialize(joined, "garbled-forms")
@@ -310,18 +359,9 @@ class Mojibake:
             # where characters were lost, only the one word that fits is restored
             unclear = (F.col("kind") == "lossy") & (F.col("low") != F.col("high"))
             by_word = by_word.select("word", F.when(unclear, F.col("word")).otherwise(F.col("b.original")).alias("original"), "b.chain")
-            shared = self.words.sparkSession.sparkContext.broadcast(CharacterForms([c for c in alphabet if c != "�"]))
-
-            def by_character(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                for b in batches:
-                    made = [(w, *r) for w in b["word"] if (r := shared.value.restore(w))]
-                    yield pd.DataFrame(made, columns=_EVIDENCE.names)
-
             multi = by_word.filter(~F.col("chain").startswith("single:"))
-            # the forms have two characters and more; a run of one is no form, only a replacement character
-            rest = self.words.select("word").filter(F.col("word").rlike("[^\\x00-\\x7F]{2}|\ufffd")).mapInPandas(by_character, _EVIDENCE)
-            # verified words come first; characters fill in what no word explains
-            both = multi.withColumn("rank", F.lit(0)).unionByName(rest.withColumn("rank", F.lit(1)))
+            # words of the corpus come first; proposed originals fill in what no word explains
+            both = multi.withColumn("rank", F.lit(0)).unionByName(self._by_characters(alphabet).withColumn("rank", F.lit(1)))
             best = both.groupBy("word").agg(F.min_by(F.struct("original", "chain"), F.struct("rank", "chain")).alias("b")).select("word", "b.*")
             singles = by_word.filter(F.col("chain").startswith("single:"))
             direct = materialize(best.unionByName(singles), "garbled-words-once")
@@ -335,13 +375,14 @@ class Mojibake:
 
     def hits(self) -> DataFrame:
         """(doc_id, word, original, chain) in documents with enough evidence."""
-        found = materialize(self.pairs.join(broadcast_if_small(self.evidence(), MAX_SIDE, "garbled"), "word"), "garbled-pairs")
+        found = materialize(self.pairs.join(broadcast_if_small(self.evidence(), label="garbled"), "word"), "garbled-pairs")
         columns = ["doc_id", "word", "original", "chain"]
         sure = found.filter(~F.col("chain").startswith("single:")).select(*columns)
         single = found.filter(F.col("chain").startswith("single:")).withColumn("frequent", F.col("original_docs") >= TIMES * F.col("docs"))
-        counts = [F.count("*").alias("n"), F.count_if("frequent").alias("frequent"), F.count_if(F.col("gain") > 0).alias("better"), F.sum("gain").alias("gain"), (F.sum("original_docs") > F.sum("docs")).alias("more")]
-        chains = materialize(single.groupBy("doc_id", "chain").agg(*counts).filter(F.col("n") >= LEAST_WORDS), "garbled-chains")
-        known = (F.col("frequent") >= LEAST_WORDS) | ((F.col("better") >= LEAST_WORDS) & (F.round("gain", 4) > 0))
+        counts = [F.count("*").alias("n"), F.count_if("frequent").alias("frequent"), F.count_if(F.col("gain") > 0).alias("better"), F.sum("gain").alias("gain"), (F.sum("original_docs") > F.sum("docs")).alias("more"), F.max("gain").alias("most")]
+        chains = materialize(single.groupBy("doc_id", "chain").agg(*counts).filter((F.col("n") >= LEAST_WORDS) | (F.col("most") >= SURE_GAIN)), "garbled-chains")
+        # a form of no gain at all is no word: letters of two scripts, or signs among letters
+        known = (F.col("most") >= SURE_GAIN) | (F.col("frequent") >= LEAST_WORDS) | ((F.col("better") >= LEAST_WORDS) & (F.round("gain", 4) > 0))
         # originals and forms look alike: the chain must not be the other way round, and explain half of the words that it may have changed
         alike = chains.filter(~known & (F.round("gain", 4) >= 0) & (F.col("chain").isin(ONE_WAY) | F.col("more")))
         pattern = functools.reduce(lambda c, name: c.when(F.col("chain") == name, F.col("word").rlike(changed_by(name))), [k for k, (kind, _) in CHAINS.items() if kind == "single"], F.when(F.lit(False), False))
