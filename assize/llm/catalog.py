@@ -11,7 +11,7 @@ from assize.llm import characters, ledger, leakage, ngrams
 from assize.llm.mixing import Mixture
 from assize.llm.mojibake import Mojibake
 from assize.llm.repeated_lines import RepeatedLines
-from assize.runtime import materialize, table
+from assize.runtime import table
 
 
 def _lines(spark: SparkSession, d: str) -> RepeatedLines:
@@ -35,7 +35,7 @@ def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _keyed(citations: DataFrame) -> DataFrame:
-    return materialize(ledger.keyed(citations, ledger.citation_key(F.col("citation")), "citation_id"), "citation-keys")
+    return ledger.keyed(citations, ledger.citation_key(F.col("citation")), "citation_id")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

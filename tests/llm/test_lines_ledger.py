@@ -144,7 +144,7 @@ CITES = [
 def test_citations(spark):
     df = spark.createDataFrame([(i, c, "k") for i, c in enumerate(CITES, 1)], "citation_id long, citation string, key string")
     rows = L.keyed(df, L.citation_key(F.col("citation")), "citation_id")
-    ledger = L.collapse(rows, 3, 8)
+    ledger = L.collapse(rows, 3)
     got = {tuple(r) for r in L.copies(rows, ledger).collect()}
     assert got == {(1, 2), (1, 3), (1, 10), (11, 12)}
     assert {r.citation_id: r.copies for r in L.collapsed(df, "citation", "citation_id", ledger).collect()} == {1: 4, 4: 1, 5: 1, 6: 1, 11: 2}
@@ -154,10 +154,16 @@ def test_ledger_grows_with_batches(spark):
     rng = random.Random(5)
     rows = [(i, rng.choice(["hot"] * 30 + [f"k{j}" for j in range(40)] + [None])) for i in range(600)]
     df = spark.createDataFrame(rows, "id long, v string")
-    ledger = L.Ledger(spark, 16)
+    folder = f"{L.scratch_folder(spark)}/test-ledger-{rng.random()}"
+    ledger = L.Ledger(spark, folder, 16)
     shuffled = rows[300:] + rows[:300]
-    for part in (shuffled[:250], shuffled[250:597], shuffled[597:]):
-        ledger.update(L.keyed(spark.createDataFrame(part, "id long, v string"), F.col("v"), "id"))
+    for part, small in ((shuffled[:250], False), (shuffled[250:597], False), (shuffled[597:], True)):
+        ledger.update(L.keyed(spark.createDataFrame(part, "id long, v string"), F.col("v"), "id"), small)
+        # a session that knows nothing of the tables goes on from the manifest
+        for t in spark.catalog.listTables():
+            if t.name.startswith("ledger_"):
+                spark.sql(f"DROP TABLE {t.name}")
+        ledger = L.Ledger.open(spark, folder)
     want = defaultdict(list)
     for i, v in rows:
         if v:
@@ -165,7 +171,39 @@ def test_ledger_grows_with_batches(spark):
     assert sorted((r.copies, r.first_id) for r in ledger.rows().collect()) == sorted((len(v), min(v)) for v in want.values())
     got = {tuple(r) for r in L.copies(L.keyed(df, F.col("v"), "id"), ledger).collect()}
     assert got == {(min(v), i) for v in want.values() for i in v if i != min(v)}
-    assert len(set(ledger.parts.values())) > 1
+    # the small batch left most buckets as they were
+    assert ledger.state["version"] == 3 and set(ledger.state["parts"]) == {2, 3} and ledger.state["copies"] == sum(map(len, want.values()))
+
+
+def test_ledger_grows_and_refuses_a_second_writer(spark, monkeypatch):
+    monkeypatch.setattr(L.Ledger, "ROWS_PER_BUCKET", 10)
+    folder = f"{L.scratch_folder(spark)}/grow-{random.random()}"
+    ledger = L.Ledger(spark, folder, 2)
+    for start in (0, 100, 200):
+        ledger.update(L.keyed(spark.range(start, start + 100), F.col("id").cast("string"), "id"))
+    assert ledger.state["buckets"] > 2 and ledger.rows().count() == 300 == ledger.rows().select("k1", "k2").distinct().count()
+    late = L.Ledger.open(spark, folder)
+    late.state = late.state | {"version": late.state["version"] - 1}
+    state = dict(late.state)
+    try:
+        late._save(late.state | {"version": late.state["version"] + 1})
+        raise AssertionError("overwritten")
+    except Exception as e:  # noqa: BLE001
+        assert "exist" in str(e)
+    assert late.state == state
+
+
+def test_ledger_is_not_shuffled(spark):
+    ledger = L.Ledger(spark)
+    batch = L.keyed(spark.range(1000), F.col("id").cast("string"), "id")
+    ledger.update(batch)
+    fresh = batch.groupBy("k1", "k2").agg(F.min("id").alias("low"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = ledger.rows().join(fresh, ["k1", "k2"], "full_outer")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 1  # that of the batch
 
 
 def test_ledger_empty(spark):
