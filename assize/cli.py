@@ -18,7 +18,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("--input", help="JSON Lines; else ASSIZE_DATA_FILE or a file at a usual place")
     p.add_argument("--output", default="stats.json")
-    p.add_argument("--export-data", help="folder for a copy of the valid records")
+    p.add_argument("--export-data", help="where a copy of the input goes, as it is")
     p.add_argument("--sample-output", help="folder for the first records")
     p.add_argument("--sample-size", type=int, default=50)
     p.add_argument("--report", action="store_true", help="print sections and cases that lack one")
@@ -34,7 +34,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict:
     payload["summary"]["invalid_lines"] = counts.first().invalid
     sinks.write_payload(payload, args.output)
     if args.export_data:
-        sinks.write_jsonl(records.drop("line_order"), args.export_data)
+        sinks.copy_input(spark, path, args.export_data)
     if args.sample_output:
         sinks.write_sample(records, args.sample_output, args.sample_size, "line_order")
     if args.report:

@@ -58,12 +58,13 @@ GROUNDS = [
 OTHER_GROUND = "Other / unspecified"
 
 #: Words that say nothing about a text (fixed values).
-STOPWORDS = (
-    "the of and to in a that is was for it on with as by at an be this which or from had has have its not but are were been also they "
-    "their would could should may can will shall any all each other such than more if there these those his her who him them did about "
-    "between through after before under over into only see cited above paragraph paragraphs article articles no nos ibid v court "
-    "applicant government case convention"
-).split()
+STOPWORDS = [
+    "the", "of", "and", "to", "in", "a", "that", "is", "was", "for", "it", "on", "with", "as", "by", "at", "an", "be", "this", "which", "or", "from", "had",
+    "has", "have", "its", "not", "but", "are", "were", "been", "also", "they", "their", "would", "could", "should", "may", "can", "will", "shall", "any", "all",
+    "each", "other", "such", "than", "more", "if", "there", "these", "those", "his", "her", "who", "him", "them", "did", "about", "between", "through", "after",
+    "before", "under", "over", "into", "only", "see", "cited", "above", "paragraph", "paragraphs", "article", "articles", "no", "nos", "ibid", "v", "court",
+    "applicant", "government", "case", "convention",
+]
 
 #: Query prefixes (fixed values).
 PREFIXES = ["case", "ecli", "hudoc", "article", "state", "body", "judge", "keyword"]

@@ -62,22 +62,23 @@ def range_label(low: Column, high: Column) -> Column:
 # --- folding
 
 
-def _latin_table() -> tuple[str, str]:
-    """Small letters with a diacritic in the Latin blocks, and their base letters, by canonical decomposition."""
-    pairs = [(chr(i), unicodedata.normalize("NFD", chr(i))) for i in range(0xC0, 0x250)]
-    pairs = [(c, d[0]) for c, d in pairs if len(d) > 1 and d[0].isascii() and c.islower()]
+def _base_table() -> tuple[str, str]:
+    """All characters that decompose canonically into one base character and marks, and these bases."""
+    pairs = [(chr(i), unicodedata.normalize("NFD", chr(i))) for i in range(0xC0, 0xFB50)]
+    pairs = [(c, [x for x in d if not unicodedata.combining(x)]) for c, d in pairs if d != c and not c.isupper()]
+    pairs = [(c, b[0]) for c, b in pairs if len(b) == 1 and len(c.encode("utf-16-le")) == 2]
     return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
 
 
-LATIN_FROM, LATIN_TO = _latin_table()
+BASE_FROM, BASE_TO = _base_table()
 
 
 def fold(c: Column, collapse: bool = True) -> Column:
     """Lower case without accents, for search in metadata; white space levelled unless ``collapse`` is false.
 
-    Covers the Latin letters that decompose canonically, and combining marks; ``fold_exact`` covers all of Unicode.
+    Covers all letters that decompose canonically, and combining marks; ``fold_exact`` does compatibility forms as well.
     """
-    x = F.regexp_replace(F.translate(F.lower(c), LATIN_FROM, LATIN_TO), r"\p{M}+", "")
+    x = F.regexp_replace(F.translate(F.lower(c), BASE_FROM, BASE_TO), r"\p{M}+", "")
     return squeeze(x) if collapse else x
 
 

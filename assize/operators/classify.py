@@ -1,8 +1,8 @@
 """Text classification with labels on paragraphs: TF-IDF centroids of words or character n-grams, and keyword profiles.
 
-Everything is long-form rows (document, token, weight). Dot products are joins on the token with a sum per (document, label); the model side
-(idf and centroids) is far smaller than the documents and joined as Spark sees fit. A hot token adds one model row per label to a
-document's row, and partial sums per document and label are built before the shuffle.
+Everything is long-form rows (document, token, weight). The model has a row per token, with the token's weight for each label. It is broadcast
+if its bytes are few; beyond that it is joined on the token, where adaptive execution splits the rows of a hot token over several tasks. Dot products
+and norm of a document come out of one sum per document, built up before the shuffle. Tables with a row per label are broadcast: labels are named by hand.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from assize.functions import text as X
 from assize.functions.constants import MIN_LABELLED, SAMPLE_SIZE, THRESHOLDS
-from assize.runtime import materialize
+from assize.runtime import hinted, materialize
 
 TOKENIZERS = {"tfidf_centroid": X.class_words, "char_ngram_centroid": X.char_ngrams, "keyword_overlap": X.class_words}
 PROFILE_TOKENS, MAX_LABELS = 120, 5
@@ -49,11 +49,38 @@ def norms(w: DataFrame, key: str) -> DataFrame:
     return w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
 
-def cosines(w: DataFrame, c: DataFrame) -> DataFrame:
-    """(doc, label, score) of all pairs with a token in common."""
-    label_norms = norms(c, "label").withColumnRenamed("norm", "label_norm")  # a row per label
-    dots = w.join(c.select("label", "token", F.col("w").alias("cw")), "token").groupBy("doc", "label").agg(F.sum(F.col("w") * F.col("cw")).alias("dot"))
-    return dots.join(norms(w, "doc"), "doc").join(F.broadcast(label_norms), "label").select("doc", "label", F.coalesce(F.try_divide(F.col("dot"), F.col("norm") * F.col("label_norm")), F.lit(0.0)).alias("score"))
+def by_token(vectors: DataFrame, value: str = "w") -> DataFrame:
+    """(token, per_label): the model with one row per token."""
+    return vectors.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("label", value))).alias("per_label"))
+
+
+def _sums(joined: DataFrame, labels: list[str], term, **others: Column) -> DataFrame:
+    """(doc, label, s, *others): per document and label with a token in common the sum of ``term`` of the label's weights, in one aggregation."""
+    weight = lambda name: F.try_element_at("per_label", F.lit(name))
+    each = [F.struct(F.lit(name).alias("label"), F.sum(term(weight(name))).alias("s")) for name in labels]
+    rows = joined.groupBy("doc").agg(F.filter(F.array(*each), lambda x: x["s"].isNotNull()).alias("found"), *[c.alias(n) for n, c in others.items()])
+    return rows.select("doc", *others, F.inline("found"))
+
+
+def cosines(w: DataFrame, model: DataFrame, label_norms: dict[str, float]) -> DataFrame:
+    """(doc, label, score) of all pairs with a token in common. ``model``: by token."""
+    joined = w.join(model, "token", "left")
+    made = _sums(joined, sorted(label_norms), lambda c: F.col("w") * c, norm=F.sqrt(F.sum(F.col("w") * F.col("w"))))
+    label_norm = F.element_at(F.create_map(*[F.lit(x) for pair in label_norms.items() for x in pair]), F.col("label"))
+    return made.select("doc", "label", F.coalesce(F.try_divide(F.col("s"), F.col("norm") * label_norm), F.lit(0.0)).alias("score"))
+
+
+def dense_scores(vectors: DataFrame, doc: str, label: str, x: str) -> DataFrame:
+    """(doc, label, score): cosine of every dense vector with the mean vector of every label; no row is joined, the means travel as one value."""
+    means = vectors.filter(F.col(label).isNotNull()).select(F.col(label).alias("label"), F.posexplode(x).alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
+    means = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda e: e["m"]).alias("m"))
+    # a row per label, of as many numbers as a vector has
+    model = means.agg(F.collect_list(F.struct("label", "m")).alias("all"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    norm = lambda a: F.sqrt(dot(a, a))
+    score = lambda e: F.coalesce(F.try_divide(dot(F.col("x"), e["m"]), F.col("n") * norm(e["m"])), F.lit(0.0))
+    rows = vectors.select(F.col(doc), F.col(x).alias("x"), norm(F.col(x)).alias("n")).withColumn("all", model.scalar())
+    return rows.select(doc, F.inline(F.transform("all", lambda e: F.struct(e["label"].alias(label), score(e).alias("score")))))
 
 
 def keyword_profiles(tf: DataFrame, idf: DataFrame, labels: DataFrame, k: int = PROFILE_TOKENS) -> DataFrame:
@@ -65,10 +92,11 @@ def keyword_profiles(tf: DataFrame, idf: DataFrame, labels: DataFrame, k: int =
     return rows.select("label", "token", "weight", F.sum("weight").over(Window.partitionBy("label")).alias("total"))
 
 
-def keyword_scores(tokens: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(doc, label, score): weight of the profile's tokens that the document has, over the profile's weight."""
-    hit = tokens.select("doc", "token").distinct().join(profiles, "token")
-    return hit.groupBy("doc", "label").agg(F.sum("weight").alias("w"), F.max("total").alias("total")).select("doc", "label", X.ratio(F.col("w"), F.col("total"), 1.0).alias("score"))
+def keyword_scores(tokens: DataFrame, model: DataFrame, totals: dict[str, float]) -> DataFrame:
+    """(doc, label, score): weight of the profile's tokens that the document has, over the profile's weight. ``tokens`` has each of a document once."""
+    made = _sums(tokens.join(model, "token"), sorted(totals), lambda c: c)
+    total = F.element_at(F.create_map(*[F.lit(x) for pair in totals.items() for x in pair]), F.col("label"))
+    return made.select("doc", "label", X.ratio(F.col("s"), total, 1.0).alias("score"))
 
 
 def choose(scores: DataFrame, threshold: float, k: int = MAX_LABELS) -> DataFrame:
@@ -79,15 +107,24 @@ def choose(scores: DataFrame, threshold: float, k: int = MAX_LABELS) -> DataFram
 
 @dataclass
 class Model:
+    """A trained model; its tables are written once and carry a broadcast hint if they are small."""
+
     method: str
     threshold: float
     idf: DataFrame
     vectors: DataFrame  # centroids or keyword profiles
+    tokens: DataFrame  # the same by token
+    labels: dict[str, float]  # norm, or weight of the profile, by label
     examples: int
 
     def scores(self, docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
+        if not self.labels:
+            return docs.sparkSession.createDataFrame([], "doc bigint, label string, score double")
+        if self.method == "keyword_overlap":
+            own = docs.select(F.col(doc).alias("doc"), F.explode(F.array_distinct(TOKENIZERS[self.method](F.col(text)))).alias("token"))
+            return keyword_scores(own, self.tokens, self.labels)
         tf = term_frequencies(docs, TOKENIZERS[self.method], doc, text)
-        return keyword_scores(tf, self.vectors) if self.method == "keyword_overlap" else cosines(weights(tf, self.idf), self.vectors)
+        return cosines(weights(tf, self.idf), self.tokens, self.labels)
 
     def predict(self, docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
         return choose(self.scores(docs, doc, text), self.threshold)
@@ -108,9 +145,12 @@ def train(docs: DataFrame, labels: DataFrame, method: str = "tfidf_centroid", th
     if n < MIN_LABELLED:
         raise ValueError(f"{n} labelled documents; {MIN_LABELLED} are needed")
     tf = materialize(term_frequencies(training, TOKENIZERS[method]), "tf")
-    idf = materialize(inverse_document_frequencies(tf, n), "idf")
-    vectors = keyword_profiles(tf, idf, labels) if method == "keyword_overlap" else centroids(weights(tf, idf), labels)
-    return Model(method, sane_threshold(threshold, THRESHOLDS[method]), idf, materialize(vectors, "vectors"), n)
+    idf = hinted(materialize(inverse_document_frequencies(tf, n), "idf"))
+    profile = method == "keyword_overlap"
+    vectors = materialize(keyword_profiles(tf, idf, labels) if profile else centroids(weights(tf, idf), labels), "vectors")
+    per_label = vectors.groupBy("label").agg(F.max("total") if profile else F.sqrt(F.sum(F.col("w") * F.col("w")))).collect()  # a row per label
+    tokens = hinted(materialize(by_token(vectors, "weight" if profile else "w"), "vectors-by-token"))
+    return Model(method, sane_threshold(threshold, THRESHOLDS[method]), idf, vectors, tokens, {r[0]: r[1] for r in per_label}, n)
 
 
 # --- assignments: (doc, manual array<string>, predicted array<string>, excluded boolean)
@@ -182,8 +222,14 @@ def changes(before: DataFrame, after: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("evaluated"), F.count_if(F.size("new") > 0).alias("tagged"), F.coalesce(F.sum(F.size("new")), F.lit(0)).alias("labels"), F.count_if(F.array_sort("old") != F.array_sort("new")).alias("changed"))
 
 
-def counters(a: DataFrame) -> DataFrame:
-    return a.agg(F.count_if(F.size("manual") > 0).alias("manual"), F.count_if((F.size("predicted") > 0) & ~F.col("excluded")).alias("predicted"), F.count_if("excluded").alias("excluded"))
+def counters(a: DataFrame, docs: DataFrame | None = None, sections: tuple[str, ...] = ()) -> DataFrame:
+    """One row: documents with manual labels, with predicted ones, and excluded ones; with ``docs`` (doc, section) also those with manual labels in some sections."""
+    manual = (F.size("manual") > 0) & ~F.col("excluded")
+    inside = F.lit(False)
+    if docs is not None:
+        a = a.join(docs.filter(F.col("section").isin(*sections)).select("doc", F.lit(True).alias("__in")), "doc", "left")
+        inside = F.coalesce("__in", F.lit(False))
+    return a.agg(F.count_if(manual).alias("manual"), F.count_if(manual & inside).alias("manual_in_sections"), F.count_if((F.size("predicted") > 0) & ~F.col("excluded")).alias("predicted"), F.count_if("excluded").alias("excluded"))
 
 
 def sample(docs: DataFrame, a: DataFrame, n: int = SAMPLE_SIZE, seed: int = 1) -> DataFrame:
@@ -215,13 +261,23 @@ def progress(a: DataFrame, model: Model | None, dataset_key: str, labels: list[s
         "assignments": [{"key": r.doc, "manual": r.manual, "predicted": r.predicted, "excluded": r.excluded} for r in a.orderBy("doc").toLocalIterator()], "model": None,
     }
     if model:
-        vectors: dict[str, dict[str, float]] = {}
-        for r in model.vectors.toLocalIterator():
-            vectors.setdefault(r.label, {})[r.token] = r["weight" if model.method == "keyword_overlap" else "w"]
-        out["model"] = {"method": model.method, "trainingSize": model.examples, "idf": {r.token: r.idf for r in model.idf.toLocalIterator()}, "vectors": vectors}
+        out["model"] = {"method": model.method, "trainingSize": model.examples, "threshold": model.threshold, "labels": model.labels}
     return out
 
 
+def save_model(model: Model, folder: str) -> None:
+    """The model's tables below a folder; they stay distributed."""
+    model.idf.write.mode("overwrite").parquet(f"{folder}/idf")
+    model.vectors.write.mode("overwrite").parquet(f"{folder}/vectors")
+    model.tokens.write.mode("overwrite").parquet(f"{folder}/tokens")
+
+
+def load_model(spark: SparkSession, folder: str, saved: dict) -> Model:
+    """The model of saved progress, with the tables that ``save_model`` wrote."""
+    idf, vectors, tokens = (spark.read.parquet(f"{folder}/{name}") for name in ("idf", "vectors", "tokens"))
+    return Model(saved["method"], saved["threshold"], hinted(idf), vectors, hinted(tokens), saved["labels"], saved["trainingSize"])
+
+
 def distinct_labels(labels: list) -> list[str]:
     """Labels with white space levelled; of those that differ in case only the first stays, blanks go."""
     seen: dict[str, str] = {}

@@ -37,7 +37,7 @@ def normalize_cases(raw: DataFrame) -> DataFrame:
     have = {c.lower() for c in raw.columns}
     presence = {f"has_{f}": X.is_present(F.col(f), "string") & ~F.lower(F.trim(f)).isin("false", "[]") if f in have else F.lit(False) for f in PRESENCE_FIELDS}
     out = raw.select(
-        "case_ord", "case_id", "case_no", "title", X.parse_date(F.col("judgment_date")).alias("date"),
+        "case_ord", "case_id", "case_no", "title", "judgment_date", "article_no", X.parse_date(F.col("judgment_date")).alias("date"),
         X.states_of(F.col("respondent_state"), defendants).alias("states"), defendants.alias("codes"),
         X.list_of(F.col("article_no"), distinct=False).alias("articles"), doc_types.alias("doc_types"),
         X.chamber_of(doc_types, F.col("originating_body")).alias("chamber"), X.or_default(F.col("originating_body"), "Unknown").alias("body"),

@@ -143,8 +143,8 @@ def by_date(results: DataFrame) -> DataFrame:
     return results.orderBy(F.desc_nulls_last("date"), F.desc("case_id"), "case_ord")
 
 
-def search(corpus: Corpus, query: str, f: Filters = Filters(), limit: int | None = MAX_HITS) -> DataFrame:
-    """Ranked cases; a blank query without prefixes browses all matching cases by date."""
+def search(corpus: Corpus, query: str, f: Filters = Filters(), limit: int | None = None) -> DataFrame:
+    """Ranked cases; a blank query without prefixes browses all matching cases by date. With ``limit`` only the first hits count, see ``is_limited``."""
     q = parse(query)
     if q.text.blank and not q.meta:
         return browse(corpus, f)
@@ -245,28 +245,39 @@ def in_section_order(paragraphs: DataFrame) -> DataFrame:
 
 
 def export_rows(corpus: Corpus, rows: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """Flat rows for CSV: metadata of the case, paragraph number from 1, labels if given, text."""
+    """Flat rows for CSV in the wide layout: metadata of the case, paragraph number from 1, labels if given, text."""
     c = corpus.cases.withColumnRenamed("case_id", "__id")
     citations = corpus.citations.groupBy("case_ord").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("cites"))
-    out = rows.join(c, "case_ord").join(citations, "case_ord", "left")
+    keywords = corpus.keywords.groupBy("case_ord").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("words"))
+    out = rows.join(c, "case_ord").join(citations, "case_ord", "left").join(keywords, "case_ord", "left")
     if labels is not None:
         out = out.join(labels.select("para_id", F.array_join("labels", "; ").alias("assigned_labels")), "para_id", "left")
     yes = lambda x: F.when(F.col(x), "yes").otherwise("no")
     cites = F.transform(F.coalesce("cites", F.array()), lambda x: x["value"])
     return out.select(
-        "case_id", "case_no", "title", F.date_format("date", "yyyy-MM-dd").alias("date"), F.array_join("states", ", ").alias("states"), F.array_join("articles", "; ").alias("articles"),
+        "case_id", "case_no", "title", "judgment_date", F.date_format("date", "yyyy-MM-dd").alias("date"), F.array_join("codes", ", ").alias("defendants"), "article_no", F.array_join("states", ", ").alias("states"), F.array_join("articles", "; ").alias("articles"),
         F.array_join("doc_types", ", ").alias("document_types"), "chamber", "body", "importance", yes("separate_opinion").alias("separate_opinion"), "outcome",
-        F.array_join("violation", "; ").alias("violation"), F.array_join("non_violation", "; ").alias("non_violation"), yes("has_inadmissibility").alias("inadmissibility"), yes("is_struck_out").alias("struck_out"),
+        F.array_join("violation", "; ").alias("violation"), F.array_join("non_violation", "; ").alias("non_violation"), yes("has_inadmissibility").alias("inadmissibility"), yes("is_struck_out").alias("struck_out"), yes("has_procedural_aspect").alias("procedural_aspect"), yes("has_substantive_aspect").alias("substantive_aspect"),
+        F.array_join(F.transform(F.coalesce("words", F.array()), lambda x: x["value"]), "; ").alias("keywords"),
         "ecli", "hudoc_url", F.size(cites).alias("citations"), F.array_join(F.slice(cites, 1, 3), "; ").alias("first_citations"),
         X.lookup(SECTION_LABELS, F.col("section")).alias("section"), (F.col("para_idx") + 1).alias("paragraph"), *(["assigned_labels"] if labels is not None else []), "text",
     )
 
 
-def response(results: DataFrame, seconds: float, size: int = PAGE_SIZE) -> DataFrame:
-    """The search API's answer, a row per page of the ordered results: (page, json) with totals, time, and the results of that page.
+def export_short(corpus: Corpus, rows: DataFrame) -> DataFrame:
+    """Flat rows for CSV in the short layout of nine columns, metadata as it was read."""
+    c = corpus.cases.withColumnRenamed("case_id", "__id")
+    text = lambda x: F.coalesce(x, F.lit(""))
+    return rows.join(c, "case_ord").select(
+        "case_id", text("case_no").alias("case_no"), text("title").alias("title"), text("judgment_date").alias("judgment_date"), F.array_join("codes", ", ").alias("defendants"), text("article_no").alias("articles"),
+        X.lookup(SECTION_LABELS, F.col("section")).alias("section"), (F.col("para_idx") + 1).alias("paragraph"), "text",
+    )
+
+
+def placed(results: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
+    """(page, at, row): ordered results with their page and their place, as numbers that follow the order.
 
-    Totals are those of all ``results``. Every result stands on one page; without any, page 1 is empty. Places in the order
-    are made of those within each range of the sort, so that no task holds all results.
+    Places in the order are made of those within each range of the sort, so that no task holds all results.
     """
     row = F.struct("case_ord", "case_id", "title", "date", "hits", "score")
     rows = materialize(results.select(row.alias("row"), F.monotonically_increasing_id().alias("at")), "search-results")
@@ -276,8 +287,17 @@ def response(results: DataFrame, seconds: float, size: int = PAGE_SIZE) -> DataF
     before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     place = F.col("before") + F.col("at").bitwiseAND(F.lit(2**33 - 1))
     rows = rows.join(F.broadcast(sizes.select("range", before.alias("before"))), "range").select((F.floor(place / size) + 1).alias("page"), F.struct("at", "row").alias("placed"))
+    return rows
+
+
+def response(results: DataFrame, seconds: float, size: int = PAGE_SIZE, limited: bool = False) -> DataFrame:
+    """The search API's answer, a row per page of the ordered results: (page, json) with totals, time, whether hits were left out, and the results of that page.
+
+    Totals are those of all ``results``. Every result stands on one page; without any, page 1 is empty.
+    """
+    rows = placed(results, size)
     totals = rows.agg(F.coalesce(F.sum("placed.row.hits"), F.lit(0)).alias("total_hits"), F.count("*").alias("total_cases"))
     first = results.sparkSession.range(1, 2).select(F.col("id").alias("page"), F.lit(None).cast(rows.schema["placed"].dataType).alias("placed"))
     pages = rows.unionByName(first).groupBy("page").agg(F.array_sort(F.collect_list("placed")).alias("placed"))
-    answer = F.struct("total_hits", "total_cases", F.lit(round(seconds, 3)).alias("search_time"), F.transform("placed", lambda x: x["row"]).alias("results"))
+    answer = F.struct("total_hits", "total_cases", F.lit(round(seconds, 3)).alias("search_time"), F.lit(limited).alias("limited"), F.transform("placed", lambda x: x["row"]).alias("results"))
     return pages.crossJoin(F.broadcast(totals)).select("page", F.to_json(answer).alias("json"))

@@ -6,8 +6,6 @@ per-case paragraph counts; rankings aggregate first and order the aggregates onl
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,15 +31,17 @@ def length_stats(c: Corpus) -> DataFrame:
 
 
 def summary(c: Corpus) -> DataFrame:
-    """One row of totals over the cases."""
+    """One row of totals over the cases, with those in which case law, domestic law and so on is present."""
     some = lambda x: F.size(x) > 0
     counts = {
         "dated_cases": F.col("date").isNotNull(), "undated_cases": F.col("date").isNull(), "violation_cases": some("violation"), "non_violation_cases": some("non_violation"),
         "key_cases": F.col("is_key"), "separate_opinion_cases": F.col("separate_opinion"), "inadmissible_cases": F.col("has_inadmissibility"), "struck_out_cases": F.col("is_struck_out"),
         "procedural_cases": F.col("has_procedural_aspect"), "substantive_cases": F.col("has_substantive_aspect"), "referring_cases": some("references"),
+        "cases_with_domestic_law": F.col("has_domestic_law"), "cases_with_international_law": F.col("has_international_law"), "cases_with_rules_of_court": F.col("has_rules_of_court"),
     } | {f"{k.lower()}_cases": F.col("chamber") == k for k in CHAMBERS} | {f"outcome_{k}": F.col("outcome") == k for k in OUTCOMES}
-    return c.cases.agg(
-        F.count("*").alias("total_cases"), *[F.count_if(cond).alias(name) for name, cond in counts.items()],
+    citing = c.citations.select("case_ord").distinct().withColumn("__cites", F.lit(True))
+    return c.cases.join(citing, "case_ord", "left").agg(
+        F.count("*").alias("total_cases"), *[F.count_if(cond).alias(name) for name, cond in counts.items()], F.count_if("__cites").alias("cases_with_strasbourg_caselaw"),
         F.min("date").alias("first_date"), F.max("date").alias("last_date"), X.range_label(F.min("date"), F.max("date")).alias("date_range"),
         F.round(X.ratio(F.count_if(F.col("chamber") == CHAMBERS[0]), F.count("*")), 4).alias("grand_chamber_share"),
     )
@@ -136,8 +136,9 @@ def state_outcomes(c: Corpus, least: int = 5, k: int = 30) -> DataFrame:
 
 
 def opinion_share_by_body(c: Corpus, k: int = 20) -> DataFrame:
+    """The bodies with most cases, and the share of these with a separate opinion."""
     out = c.cases.groupBy("body").agg(F.count("*").alias("cases"), F.count_if("separate_opinion").alias("with_opinion"))
-    return out.withColumn("percent", F.round(X.ratio(F.col("with_opinion"), F.col("cases")), 2)).orderBy(F.desc("percent"), F.desc("cases"), "body").limit(k)
+    return out.withColumn("percent", F.round(X.ratio(F.col("with_opinion"), F.col("cases")), 2)).orderBy(F.desc("cases"), "body").limit(k)
 
 
 def grounds(c: Corpus, k: int = 20) -> DataFrame:
@@ -161,20 +162,23 @@ def concentration(c: Corpus, k: int = 10) -> DataFrame:
     return rows.select(F.row_number().over(w).alias("rank"), "value", "n", F.round(share, 2).alias("share"), F.round(running, 2).alias("running_share"))
 
 
-#: Raw fields whose presence is reported, with their kinds.
+#: The fields whose presence is reported, with their kinds; those kept in a table of their own are counted there.
 FIELDS = {
-    "respondent_state": "string", "defendants": "string", "originating_body": "string", "importance": "string", "separate_opinion": "string", "ecli": "string",
-    "hudoc_url": "string", "violation": "array", "non_violation": "array", "conclusion": "string", "document_type": "string", "article_no": "string", "judgment_date": "string", "title": "string",
+    "respondent_state": "string", "defendants": "string", "originating_body": "string", "importance": "string", "keywords": "list", "separate_opinion": "string", "ecli": "string", "hudoc_url": "string",
+    "represented_by": "string", "strasbourg_caselaw": "list", "domestic_law": "string", "international_law": "string", "rules_of_court": "string", "violation": "array", "non_violation": "array",
+    "applicability": "string", "conclusion": "string", "chamber_composed_of": "list",
 }
 
 
 def field_completeness(raw: DataFrame, lists: dict[str, DataFrame]) -> DataFrame:
-    """(field, share) of cases in which a raw field, or a list kept in a table of its own, is present."""
-    one = raw.agg(F.count("*").alias("all"), *[F.count_if(X.is_present(F.col(f), k)).alias(f) for f, k in FIELDS.items()])
+    """(field, share) of cases in which a raw field, or a list kept in a table of its own, is present; 0 for a field that the data do not have."""
+    have = {x.lower() for x in raw.columns}
+    empty = lambda f: F.trim(f) == "[]"  # noqa: E731  (of a list read as text)
+    conditions = {f: X.is_present(F.col(f), k) & (~empty(f) if k == "string" else F.lit(True)) if f in have else F.lit(False) for f, k in FIELDS.items() if f not in lists}
+    one = raw.agg(F.count("*").alias("all"), *[F.count_if(cond).alias(f) for f, cond in conditions.items()])
     for name, rows in lists.items():
         one = one.withColumn(name, rows.agg(F.countDistinct("case_ord")).scalar())
-    names = [*FIELDS, *lists]
-    cells = F.array(*[F.struct(F.lit(n).alias("field"), F.round(X.ratio(F.col(n), F.col("all"), 1.0), 4).alias("share")) for n in names])
+    cells = F.array(*[F.struct(F.lit(n.replace("_v", "-v") if n == "non_violation" else n).alias("field"), F.round(X.ratio(F.col(n), F.col("all"), 1.0), 4).alias("share")) for n in FIELDS])
     return one.select(F.inline(cells))
 
 
@@ -192,23 +196,44 @@ def ratio_to_max(counts: DataFrame, number: str = "n") -> DataFrame:
     return counts.withColumn("percent", F.floor(F.col(number) / F.max(number).over(Window.partitionBy(F.lit(1))) * 100))
 
 
+CHAMBER_NAMES = {"GRANDCHAMBER": "Grand Chamber", "CHAMBER": "Chamber", "OTHER": "Other"}
+
+
 def payload(c: Corpus, raw: DataFrame, source: str, generated_at: str) -> dict:
-    """All statistics as one dictionary; every member is a bounded number of rows."""
+    """All statistics as one dictionary, with the members and row layouts that readers of statistics files expect; every member is a bounded number of rows."""
 
-    def rows(df: DataFrame) -> list[dict]:
-        return [json.loads(x) for x in df.toJSON().collect()]
+    def rows(df: DataFrame, *columns: str) -> list[list]:
+        return [[x if not hasattr(x, "isoformat") else x.isoformat() for x in r] for r in df.select(*columns).collect()]
 
+    s, n, d = summary(c).first(), length_stats(c).first(), distinct_counts(c).first()
+    months, years = by_period(c).collect(), by_period(c, X.year_key).collect()
+    outcomes = rows(outcome_buckets(c).orderBy("rank"), "label", "cases")
+    importance = rows(ranking(c.cases.select(F.col("importance").alias("value"))), "value", "n")
+    same = ["violation_cases", "non_violation_cases", "grand_chamber_share", "key_cases", "separate_opinion_cases", "cases_with_strasbourg_caselaw", "cases_with_domestic_law", "cases_with_international_law", "cases_with_rules_of_court", "inadmissible_cases", "struck_out_cases"]
     return {
         "generated_at": generated_at, "source_file": source, "schema_version": SCHEMA_VERSION, "parser_version": PARSER_VERSION,
-        "summary": rows(summary(c))[0] | rows(length_stats(c))[0] | rows(distinct_counts(c))[0],
-        "series": {"by_month": rows(by_period(c)), "by_year": rows(by_period(c, X.year_key)), "outcomes_by_year": rows(outcomes_by_year(c)), "aspects_by_year": rows(aspects_by_year(c)), "outcomes": rows(outcome_buckets(c)), "chambers": rows(chamber_breakdown(c)), "concentration": rows(concentration(c))},
+        "summary": {
+            "total_cases": s.total_cases, "input_record_count": s.total_cases, "schema_version": SCHEMA_VERSION, "parser_version": PARSER_VERSION, "total_paragraphs": n.paragraphs,
+            "dated_cases": s.dated_cases, "undated_cases": s.undated_cases, "date_range_label": s.date_range, "unique_countries": d.unique_countries, "unique_articles": d.unique_articles,
+            "avg_paragraphs_per_case": n.avg, "median_paragraphs_per_case": n.median, "p90_paragraphs_per_case": n.p90, "min_paragraphs_per_case": n.min, "max_paragraphs_per_case": n.max,
+            **{k: s[k] for k in same}, "grand_chamber_cases": s.grandchamber_cases, "chamber_cases": s.chamber_cases, "other_cases": s.other_cases,
+            "avg_strasbourg_citations_per_case": d.avg_citations, "procedural_aspect_cases": s.procedural_cases, "substantive_aspect_cases": s.substantive_cases, **{f"outcome_{k}": s[f"outcome_{k}"] for k in OUTCOMES},
+        },
+        "series": {
+            "cases_by_month": [[r.period, r.cases] for r in months], "cases_by_year": [[r.period, r.cases] for r in years], "paragraphs_by_month": [[r.period, r.paragraphs] for r in months],
+            "chamber_breakdown": [[CHAMBER_NAMES[k], s[f"{k.lower()}_cases"]] for k in CHAMBERS], "case_length_snapshot": [["Min", n.min], ["Median", n.median], ["P90", n.p90], ["Max", n.max]],
+            "importance_breakdown": importance, "outcome_breakdown": outcomes, "separate_opinion_share_by_body": rows(opinion_share_by_body(c), "body", "percent", "cases", "with_opinion"),
+            "outcomes_by_year": rows(outcomes_by_year(c), "year", *OUTCOMES), "procedural_vs_substantive_by_year": rows(aspects_by_year(c), "year", "procedural", "substantive"),
+        },
         "rankings": {
-            "countries": rows(top_countries(c)), "articles": rows(article_mentions(c)), "sections": rows(section_counts(c)), "bodies": rows(ranking(c.cases.select(F.col("body").alias("value")), 20)),
-            "importance": rows(ranking(c.cases.select(F.col("importance").alias("value")))), "keywords": rows(ranking(c.keywords, 30)), "judges": rows(ranking(c.judges, 30)), "citations": rows(ranking(c.citations, 20)),
-            "article_outcomes": rows(article_outcomes(c)), "article_violation_rates": rows(article_violation_rates(c)), "state_outcomes": rows(state_outcomes(c)),
-            "opinion_share_by_body": rows(opinion_share_by_body(c)), "grounds": rows(grounds(c)), "citing_cases": rows(citing_cases(c)),
+            "countries_top": rows(top_countries(c), "value", "n"), "articles_top": rows(article_mentions(c), "value", "mentions"), "sections": rows(section_counts(c), "label", "n"),
+            "originating_bodies_top": rows(ranking(c.cases.select(F.col("body").alias("value")), 20), "value", "n"), "importance_distribution": importance,
+            "keywords_top": rows(ranking(c.keywords, 30), "value", "n"), "judges_top": rows(ranking(c.judges, 30), "value", "n"), "strasbourg_caselaw_top": rows(ranking(c.citations, 20), "value", "n"),
+            "article_outcomes_top": rows(article_outcomes(c), "value", "violations", "non_violations", "total"), "article_violation_rates_top": rows(article_violation_rates(c), "value", "rate", "violations", "cases"),
+            "state_outcomes_top": rows(state_outcomes(c), "state", "total", *OUTCOMES, "violation_percent"), "inadmissibility_grounds_top": rows(grounds(c), "value", "n"),
+            "precedent_concentration_top": rows(concentration(c), "value", "n", "share", "running_share"), "precedent_to_citing_cases_top": rows(citing_cases(c), "value", "cases"), "outcomes": outcomes,
         },
-        "quality": {"field_completeness": {r["field"]: r["share"] for r in rows(field_completeness(raw, {"keywords": c.keywords, "chamber_composed_of": c.judges, "strasbourg_caselaw": c.citations}))}},
+        "quality": {"field_completeness": {r.field: r.share for r in field_completeness(raw, {"keywords": c.keywords, "chamber_composed_of": c.judges, "strasbourg_caselaw": c.citations}).collect()}},
     }
 
 

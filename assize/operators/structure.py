@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assize.functions import text as X
+from assize.runtime import materialize
 
 CHUNK = 4096
 React = Callable[[int, int], tuple[int, str]]
@@ -175,16 +176,15 @@ def label(rows: DataFrame, group: str, order: list[str], signal: Column, react:
     place = [F.col(o).alias(f"o{i}") for i, o in enumerate(order)]
     keys = [f"o{i}" for i in range(len(order))]
     base = rows.select(F.col(group).cast("long").alias("g"), F.floor(F.col(order[0]) / chunk).alias("c"), *place, signal.alias("signal"))
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     long = base.filter("c > 0").select("g").distinct()
     ready = base.withColumn("start", F.lit(0))
     if not long.isEmpty():  # only decisions of several chunks need their chunks' maps
-        several = base.join(long, "g", "left_semi").repartition(n, "g", "c").sortWithinPartitions("g", "c", *keys)
+        several = base.join(long, "g", "left_semi").repartition("g", "c").sortWithinPartitions("g", "c", *keys)
         maps = several.mapInPandas(_end_states(react, states), "g long, c long, ends array<int>")
         before = F.collect_list("ends").over(Window.partitionBy("g").orderBy("c").rowsBetween(Window.unboundedPreceding, -1))
         starts = maps.select("g", "c", F.aggregate(before, F.lit(0), lambda s, ends: F.get(ends, s)).alias("from"))
         ready = base.join(starts, ["g", "c"], "left").withColumn("start", F.coalesce("from", F.lit(0))).drop("from")
-    ready = ready.repartition(n, "g", "c").sortWithinPartitions("g", "c", *keys)
+    ready = ready.repartition("g", "c").sortWithinPartitions("g", "c", *keys)
     schema = T.StructType([ready.schema["g"], *[ready.schema[k] for k in keys], T.StructField("label", T.StringType())])
     labelled = ready.select("g", "c", *keys, "signal", "start").mapInPandas(_labels(react), schema)
     return labelled.select(F.col("g").alias(group), *[F.col(k).alias(o) for k, o in zip(keys, order)], "label")
@@ -199,6 +199,7 @@ def law_sections(rows: DataFrame, group: str, order: list[str], text: str) -> Da
 def facts_sections(rows: DataFrame, group: str, order: list[str], text: str) -> DataFrame:
     """(group, order..., label): background and proceedings. Headings decide where a decision has any, else repeated words of proceedings."""
     kept = rows.withColumn("__t", X.strip(F.col(text))).filter("__t <> ''").select(group, *order, facts_signal(F.col("__t")).alias("__s"))
+    kept = materialize(kept, "facts-signals")  # read twice; the texts are looked at once
     headed = kept.filter(F.col("__s").isin(TO_BACKGROUND, TO_PROCEEDINGS)).select(F.col(group).alias("__g")).distinct().withColumn("__h", F.lit(True))
     kept = kept.join(headed, F.col(group) == F.col("__g"), "left")
     signal = F.when(F.col("__h") & (F.col("__s") == BUSY), QUIET).otherwise(F.col("__s"))

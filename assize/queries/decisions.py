@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assize.functions import text as X
-from assize.functions.constants import CHAMBERS, COUNTRIES, GROUNDS, OTHER_GROUND, OUTCOMES, SECTION_LABELS, SECTION_WEIGHTS, STOPWORDS
+from assize.functions.constants import CHAMBERS, COUNTRIES, GROUNDS, OTHER_GROUND, OUTCOMES, SECTION_LABELS, SECTION_WEIGHTS, STOPWORDS, THRESHOLDS
 from assize.operators import classify as C
 from assize.operators import search as S
 from assize.operators import statistics as A
@@ -75,6 +75,7 @@ ar AS (SELECT case_ord, unnest(articles) AS article FROM c),
 kw AS (SELECT case_ord, case_id, pos, trim(keyword) AS value FROM keywords WHERE trim(keyword) <> ''),
 ci AS (SELECT case_ord, case_id, pos, trim(regexp_replace(citation, '\s+', ' ', 'g')) AS value FROM citations WHERE trim(regexp_replace(citation, '\s+', ' ', 'g')) <> ''),
 ju AS (SELECT case_ord, case_id, pos, regexp_replace(judge, '^[\s\x{{A0}}\x{{2007}}\x{{2009}}\x{{202F}}\x{{3000}}]+|[\s\x{{A0}}\x{{2007}}\x{{2009}}\x{{202F}}\x{{3000}}]+$', '', 'g') AS value FROM judges)"""
+_UNIQUE_CODES = "list_filter(codes, lambda x, i: list_position(codes, x) = i)"
 _WEIGHT = _case("section", SECTION_WEIGHTS, "1.0")
 _BOOST = "(CASE WHEN lower(importance) = 'key cases' THEN 1.1 ELSE 1.0 END * CASE WHEN chamber = 'GRANDCHAMBER' THEN 1.1 ELSE 1.0 END)"
 
@@ -142,13 +143,25 @@ add("export_rows", lambda c: S.export_rows(c, S.hits(c, "judgment")).select("cas
     f"""SELECT h.case_id, strftime(date, '%Y-%m-%d') AS date, array_to_string(types, ', ') AS document_types, CASE WHEN opinion THEN 'yes' ELSE 'no' END AS separate_opinion, outcome, array_to_string(v, '; ') AS violation,
     (SELECT count(*) FROM ci WHERE ci.case_ord = h.case_ord)::INT AS citations, {_case('section', SECTION_LABELS, 'section')} AS section, h.para_idx + 1 AS paragraph, text
     FROM (SELECT * FROM p WHERE contains(low, 'judgment') ORDER BY case_ord, local_idx, para_id LIMIT 5000) AS h JOIN c ON h.case_ord = c.case_ord""")
-add("search_response", lambda c: S.response(S.search(c, "court", limit=None), 0.0))
+add("search_response", lambda c: S.response(S.search(c, "court"), 0.0))
+add("search_pages", lambda c: S.placed(S.search(c, "court")).select("page", "placed.row.case_ord", "placed.row.hits", "placed.row.score"),
+    f", r AS ({_ranked("contains(low, 'court')")}) SELECT (row_number() OVER (ORDER BY score DESC, hits DESC, date DESC NULLS LAST, case_ord) - 1) // 20 + 1 AS page, case_ord, hits, score FROM r JOIN c USING (case_ord)")
+add("search_articles", lambda c: _few(S.search(c, "court", S.Filters(articles=("6", "8-1")))), _ranked("contains(low, 'court') AND list_has_any(articles, ['6', '8-1'])"))
+add("search_ecli", lambda c: _few(S.search(c, "ecli:ce:echr:20 court")), _ranked("contains(low, 'court') AND contains(lower(coalesce(ecli, '')), 'ce:echr:20')"))
+add("export_short", lambda c: S.export_short(c, S.hits(c, "judgment")),
+    f"""SELECT h.case_id, coalesce(c.case_no, '') AS case_no, coalesce(c.title, '') AS title, coalesce(k.judgment_date, '') AS judgment_date, array_to_string({_UNIQUE_CODES}, ', ') AS defendants, coalesce(k.article_no, '') AS articles,
+    {_case('section', SECTION_LABELS, 'section')} AS section, h.para_idx + 1 AS paragraph, text FROM p AS h JOIN c ON h.case_ord = c.case_ord JOIN cases AS k ON k.case_ord = c.case_ord WHERE contains(low, 'judgment')""")
+add("export_wide", lambda c: S.export_rows(c, S.hits(c, "judgment")).select("case_id", "judgment_date", "defendants", "article_no", "keywords", "procedural_aspect", "substantive_aspect", "first_citations", "section", "paragraph"),
+    f"""SELECT h.case_id, k.judgment_date, array_to_string({_UNIQUE_CODES}, ', ') AS defendants, k.article_no, coalesce((SELECT string_agg(value, '; ' ORDER BY pos, value) FROM kw WHERE kw.case_ord = h.case_ord), '') AS keywords,
+    CASE WHEN procedural THEN 'yes' ELSE 'no' END AS procedural_aspect, CASE WHEN substantive THEN 'yes' ELSE 'no' END AS substantive_aspect,
+    coalesce((SELECT array_to_string(list(value ORDER BY pos, value)[1:3], '; ') FROM ci WHERE ci.case_ord = h.case_ord), '') AS first_citations, {_case('section', SECTION_LABELS, 'section')} AS section, h.para_idx + 1 AS paragraph
+    FROM p AS h JOIN c ON h.case_ord = c.case_ord JOIN cases AS k ON k.case_ord = c.case_ord WHERE contains(low, 'judgment')""")
 
 # --- statistics
 
 add("summary", A.summary, """SELECT count(*) AS total_cases, count(date) AS dated_cases, count(*) - count(date) AS undated_cases, count(*) FILTER (len(v) > 0) AS violation_cases, count(*) FILTER (len(nv) > 0) AS non_violation_cases,
     count(*) FILTER (lower(importance) = 'key cases') AS key_cases, count(*) FILTER (opinion) AS separate_opinion_cases, count(*) FILTER (inadmissible) AS inadmissible_cases, count(*) FILTER (struck) AS struck_out_cases, count(*) FILTER (procedural) AS procedural_cases,
-    count(*) FILTER (substantive) AS substantive_cases, count(*) FILTER (len(list_filter(refs, lambda x: trim(x) <> '')) > 0) AS referring_cases, """
+    count(*) FILTER (substantive) AS substantive_cases, count(*) FILTER (len(list_filter(refs, lambda x: trim(x) <> '')) > 0) AS referring_cases, 0 AS cases_with_domestic_law, 0 AS cases_with_international_law, 0 AS cases_with_rules_of_court, count(*) FILTER (case_ord IN (SELECT case_ord FROM ci)) AS cases_with_strasbourg_caselaw, """
     + ", ".join(f"count(*) FILTER (chamber = '{k}') AS {k.lower()}_cases" for k in CHAMBERS) + ", " + ", ".join(f"count(*) FILTER (outcome = '{k}') AS outcome_{k}" for k in OUTCOMES)
     + """, min(date) AS first_date, max(date) AS last_date, strftime(min(date), '%d %b %Y') || ' – ' || strftime(max(date), '%d %b %Y') AS date_range, round(count(*) FILTER (chamber = 'GRANDCHAMBER') / count(*) * 100, 4) AS grand_chamber_share FROM c""")
 add("length_stats", A.length_stats, "SELECT count(*) AS cases, sum(n)::BIGINT AS paragraphs, round(avg(n), 6) AS avg, round(quantile_cont(n, 0.5), 6) AS median, round(quantile_cont(n, 0.9), 6) AS p90, min(n) AS min, max(n) AS max FROM lengths")
@@ -174,15 +187,19 @@ add("article_violation_rates", A.article_violation_rates, f""", {_VIOLATIONS}, n
     SELECT value, cases, coalesce(violations, 0) AS violations, round(coalesce(violations, 0) / cases, 4) AS rate FROM n LEFT JOIN a USING (value) ORDER BY rate DESC, cases DESC, violations DESC, value LIMIT 20""")
 add("state_outcomes", A.state_outcomes, "SELECT state, count(*) AS total, " + ", ".join(f"count(*) FILTER (outcome = '{k}') AS {k}" for k in OUTCOMES)
     + ", round(count(*) FILTER (outcome IN ('violation_only', 'both')) / count(*) * 100, 2) AS violation_percent FROM st JOIN c USING (case_ord) GROUP BY 1 HAVING count(*) >= 5 ORDER BY total DESC, violation_percent DESC, state LIMIT 30")
-add("opinion_share_by_body", A.opinion_share_by_body, "SELECT body, count(*) AS cases, count(*) FILTER (opinion) AS with_opinion, round(count(*) FILTER (opinion) / count(*) * 100, 2) AS percent FROM c GROUP BY 1 ORDER BY percent DESC, cases DESC, body LIMIT 20")
+add("opinion_share_by_body", A.opinion_share_by_body, "SELECT body, count(*) AS cases, count(*) FILTER (opinion) AS with_opinion, round(count(*) FILTER (opinion) / count(*) * 100, 2) AS percent FROM c GROUP BY 1 ORDER BY cases DESC, body LIMIT 20")
 add("inadmissibility_grounds", A.grounds, "SELECT value, count(*) AS n FROM (SELECT unnest(grounds) AS value FROM c WHERE inadmissible) GROUP BY 1 ORDER BY n DESC, value LIMIT 20")
 add("citing_cases", A.citing_cases, "SELECT value, count(DISTINCT case_id) AS cases, count(*) AS mentions FROM ci WHERE case_id <> '' GROUP BY 1 ORDER BY cases DESC, mentions DESC, value LIMIT 20")
 add("concentration", A.concentration, """, t AS (SELECT value, count(*) AS n FROM ci GROUP BY 1 ORDER BY n DESC, value LIMIT 10)
     SELECT row_number() OVER w AS rank, value, n, round(n / (SELECT count(*) FROM ci) * 100, 2) AS share, round(sum(n / (SELECT count(*) FROM ci) * 100) OVER (ORDER BY n DESC, value ROWS UNBOUNDED PRECEDING), 2) AS running_share FROM t WINDOW w AS (ORDER BY n DESC, value)""")
 
 
+#: Fields that the test tables do not have.
+_ABSENT = ("represented_by", "domestic_law", "international_law", "rules_of_court", "applicability")
+
+
 def _present(field: str, kind: str) -> str:
-    return f"len({field}) > 0" if kind == "array" else f"trim({field}) <> ''"
+    return "false" if field in _ABSENT else f"len({field}) > 0" if kind == "array" else f"trim({field}) NOT IN ('', '[]')"
 
 
 def _completeness(spark: SparkSession, d: str) -> DataFrame:
@@ -191,7 +208,7 @@ def _completeness(spark: SparkSession, d: str) -> DataFrame:
 
 
 add("field_completeness", _completeness, " UNION ALL ".join(
-    [f"SELECT '{f}' AS field, round(count(*) FILTER ({_present(f, k)}) / count(*), 4) AS share FROM cases" for f, k in A.FIELDS.items()]
+    [f"SELECT '{f.replace('n_v', 'n-v')}' AS field, round(count(*) FILTER ({_present(f, k)}) / count(*), 4) AS share FROM cases" for f, k in A.FIELDS.items() if k != "list"]
     + [f"SELECT '{n}', round(count(DISTINCT case_ord) / (SELECT count(*) FROM cases), 4) FROM {t}" for n, t in (("keywords", "kw"), ("chamber_composed_of", "(SELECT * FROM ju WHERE value <> '')"), ("strasbourg_caselaw", "ci"))]), raw=True)
 _PIVOT = ["admissibility", "merits", "just_satisfaction", "operative_part", "unknown"]
 add("section_pivot", lambda c: A.section_pivot(c, _PIVOT), "SELECT case_ord, " + ", ".join(f"count(*) FILTER (section = '{s}') AS {s}" for s in _PIVOT) + " FROM p GROUP BY 1")
@@ -265,14 +282,20 @@ sz AS (SELECT section AS label, count(*) AS docs FROM p GROUP BY 1),
 cen AS (SELECT section AS label, token, sum(lab.n / len * idf) / any_value(docs) AS w FROM lab JOIN idf USING (token) JOIN sz ON section = label GROUP BY 1, 2)"""
 add("tfidf_weights", lambda c: _model(c, "tfidf_centroid").idf.select("token", F.round("idf", 6).alias("idf")), f", {_TOKENS} SELECT token, round(idf, 6) AS idf FROM idf")
 add("label_centroids", lambda c: _model(c, "tfidf_centroid").vectors.select("label", "token", F.round("w", 6).alias("w")), f", {_TOKENS} SELECT label, token, round(w, 6) AS w FROM cen")
-add("centroid_predict", lambda c: _predict(c, "tfidf_centroid"), f""", {_TOKENS}, q AS (SELECT doc, token, n / len * coalesce(idf, 1.0) AS w FROM cnt LEFT JOIN idf USING (token) WHERE section = 'unknown'),
-    qn AS (SELECT doc, sqrt(sum(w * w)) AS norm FROM q GROUP BY 1), cn AS (SELECT label, sqrt(sum(w * w)) AS norm FROM cen GROUP BY 1)
-    SELECT q.doc, cen.label, round(sum(q.w * cen.w) / any_value(qn.norm * cn.norm), 6) AS score FROM q JOIN cen USING (token) JOIN qn ON q.doc = qn.doc JOIN cn ON cen.label = cn.label GROUP BY 1, 2""")
+_SCORE_VIEWS = """q AS (SELECT doc, token, n / len * coalesce(idf, 1.0) AS w FROM cnt LEFT JOIN idf USING (token) WHERE section = 'unknown'),
+    qn AS (SELECT doc, sqrt(sum(w * w)) AS norm FROM q GROUP BY 1), cn AS (SELECT label, sqrt(sum(w * w)) AS norm FROM cen GROUP BY 1)"""
+_SCORES_OF = "SELECT q.doc, cen.label, round(sum(q.w * cen.w) / any_value(qn.norm * cn.norm), 6) AS score FROM q JOIN cen USING (token) JOIN qn ON q.doc = qn.doc JOIN cn ON cen.label = cn.label GROUP BY 1, 2"
+_SCORES = f"{_SCORE_VIEWS} {_SCORES_OF}"
+add("centroid_predict", lambda c: _predict(c, "tfidf_centroid"), f", {_TOKENS}, {_SCORES}")
 _PROFILE = """k AS (SELECT section AS label, token, sum(n) AS n FROM lab GROUP BY 1, 2), pr AS (SELECT label, token, n / sum(n) OVER (PARTITION BY label) * idf AS weight FROM k JOIN idf USING (token)),
 prof AS (SELECT label, token, weight, sum(weight) OVER (PARTITION BY label) AS total FROM (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY label ORDER BY weight DESC, token) <= 120))"""
 add("keyword_profiles", lambda c: _model(c, "keyword_overlap").vectors.select("label", "token", F.round("weight", 6).alias("weight")), f", {_TOKENS}, {_PROFILE} SELECT label, token, round(weight, 6) AS weight FROM prof")
 add("keyword_predict", lambda c: _predict(c, "keyword_overlap"), f", {_TOKENS}, {_PROFILE} SELECT doc, label, round(sum(weight) / any_value(total), 6) AS score FROM (SELECT DISTINCT doc, token FROM cnt WHERE section = 'unknown') JOIN prof USING (token) GROUP BY 1, 2")
-add("char_ngram_predict", lambda c: _predict(c, "char_ngram_centroid"))
+_GRAMS = _TOKENS.replace("t AS (SELECT para_id AS doc, section, list_filter(regexp_extract_all(low, '[a-z0-9]{3,}'), lambda x: x NOT IN " + _STOP + ") AS l FROM p)", r"""
+pad AS (SELECT para_id AS doc, section, ' ' || trim(regexp_replace(regexp_replace(low, '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) || ' ' AS t FROM p),
+t AS (SELECT doc, section, list_filter(flatten(list_transform([3, 4, 5], lambda n: list_transform(generate_series(1, length(t) - n + 1), lambda i: substring(t, i::INT, n)))), lambda g: length(trim(g)) >= greatest(2, length(g) - 1)) AS l FROM pad)""")
+assert _GRAMS != _TOKENS
+add("char_ngram_predict", lambda c: _predict(c, "char_ngram_centroid"), f", {_GRAMS}, {_SCORES}")
 
 
 def _assigned(c: Corpus) -> DataFrame:
@@ -283,15 +306,32 @@ def _assigned(c: Corpus) -> DataFrame:
     return after.select("doc", F.array_join(C.combined_labels(), "|").alias("labels"), F.size("manual").alias("manual"), F.size("predicted").alias("predicted"))
 
 
-add("apply_labels", _assigned)
+_LABEL_LIST = ", ".join(f"'{x}'" for x in _LABELS)
+add("apply_labels", _assigned,
+    f""", {_TOKENS}, {_SCORE_VIEWS}, s AS ({_SCORES_OF}), b AS (SELECT doc, label, row_number() OVER (PARTITION BY doc ORDER BY score DESC, label) AS r FROM s WHERE score >= {THRESHOLDS['tfidf_centroid']})
+    SELECT doc, string_agg(label, '|' ORDER BY r) AS labels, 0 AS manual, count(*)::INT AS predicted FROM b WHERE r <= 5 GROUP BY 1
+    UNION ALL SELECT para_id, section, 1, 0 FROM p WHERE section IN ({_LABEL_LIST})""")
+
+
+def _edited(c: Corpus) -> DataFrame:
+    """Assignments after some edits: labels by hand, one taken back, one document excluded and one cleared, by remainders of the id."""
+    docs = c.paragraphs.select(F.col("para_id").alias("doc"), "section")
+    some = lambda n: docs.filter(F.col("doc") % 5 == n)
+    a = C.toggle_label(C.no_assignments(docs.sparkSession), docs, "seen")
+    a = C.toggle_label(a, some(1), "kept")
+    a = C.toggle_label(a, some(2), "seen")
+    a = C.clear(C.exclude(a, some(3)), some(4))
+    return C.counters(a, docs, ("merits", "admissibility"))
+
+
+add("classifier_edits", _edited, """SELECT count(*) FILTER (para_id % 5 < 2) AS manual, count(*) FILTER (para_id % 5 < 2 AND section IN ('merits', 'admissibility')) AS manual_in_sections,
+    0 AS predicted, count(*) FILTER (para_id % 5 = 3) AS excluded FROM p""")
+add("classifier_sample", lambda c: C.sample(c.paragraphs.select(F.col("para_id").alias("doc"), "section"), C.no_assignments(c.paragraphs.sparkSession)).agg(F.count("*").alias("n")), "SELECT least(30, count(*)) AS n FROM p")
 
 
 def _dense(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
-    mean = e.groupBy("label", "i").agg(F.avg("x").alias("m"))
-    norm = mean.groupBy("label").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("label_norm"))
-    dots = e.drop("label").join(mean, "i").groupBy("vec_id", "label").agg(F.sum(F.col("x") * F.col("m")).alias("dot"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return dots.join(F.broadcast(norm), "label").select("vec_id", "label", F.round(F.try_divide("dot", F.col("norm") * F.col("label_norm")), 6).alias("score"))
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
+    return C.dense_scores(e, "vec_id", "label", "x").select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
 add("dense_cosine_centroid", _dense, """, e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM e GROUP BY 1, 2),

@@ -122,6 +122,12 @@ def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES, label: str =
     return F.broadcast(side) if small else side
 
 
+def hinted(written: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A table that was written with ``materialize``, with a broadcast hint if it takes at most ``most`` bytes in memory."""
+    small = _bytes_of_files(written.sparkSession, written.inputFiles()) <= most and memory_bytes(written) <= most
+    return F.broadcast(written) if small else written
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores in front until ``df`` has no such column (names compare without case)."""
     taken = {c.lower() for c in df.columns}

@@ -15,6 +15,16 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.option("ignoreNullFields", False).json(path)
 
 
+def copy_input(spark: SparkSession, path: str, target: str) -> bool:
+    """A copy of the input as it is, unknown fields and bad lines included; nothing if it is there already (false). Both may be folders or files of any file system."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    a, b = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, target))
+    fa, fb = a.getFileSystem(conf), b.getFileSystem(conf)
+    if fa.makeQualified(a).equals(fb.makeQualified(b)):
+        return False
+    return jvm.org.apache.hadoop.fs.FileUtil.copy(fa, a, fb, b, False, True, conf)
+
+
 def write_sample(df: DataFrame, path: str, n: int = 50, order: str = "case_ord") -> None:
     """The first ``n`` rows in file order."""
     df.orderBy(order).limit(max(0, n)).write.json(path)

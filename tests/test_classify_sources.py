@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from assize import runtime as R
 from assize.functions import text as X
 from assize.operators import classify as C
 from assize.sources import jsonl, sinks
@@ -67,7 +68,7 @@ def test_assignments(spark):
     rows = {r.doc: (r.manual, r.predicted, r.excluded) for r in after.collect()}
     assert rows == {1: (["x"], ["y"], False), 2: ([], [], True), 3: ([], ["y"], False)}
     assert tuple(C.changes(a, after, docs).first()) == (2, 2, 2, 2)
-    assert tuple(C.counters(after).first()) == (1, 2, 1)
+    assert tuple(C.counters(after).first()) == (1, 0, 2, 1)
     assert {r.doc for r in C.remove_label(after, "y").collect()} == {1, 2}
     assert C.sample(docs, after, 1).first().doc == 3
     assert C.valid_assignments(after, docs.filter("doc = 1"), ["y"]).first().manual == []
@@ -148,7 +149,7 @@ def test_cli_and_records(spark, tmp_path):
     p = tmp_path / "in.jsonl"
     p.write_text("\n".join(map(json.dumps, rows)) + "\n{broken\n")
     got = cli.run(spark, cli.arguments(["--input", str(p), "--output", str(tmp_path / "s.json"), "--sample-output", str(tmp_path / "sample"), "--sample-size", "1", "--export-data", str(tmp_path / "copy"), "--report"]))
-    assert got["summary"]["total_cases"] == 2 and got["summary"]["invalid_lines"] == 1 and got["summary"]["avg_citations"] == 1.0
+    assert got["summary"]["total_cases"] == 2 and got["summary"]["invalid_lines"] == 1 and got["summary"]["avg_strasbourg_citations_per_case"] == 1.0
     assert json.loads((tmp_path / "s.json").read_text())["summary"] == got["summary"]
     records, _ = jsonl.read_tolerant(spark, str(p))
     c = Corpus.from_records(records)
@@ -165,6 +166,26 @@ def test_progress_round_trip(spark, data):
     names, back, keys, cursor = C.restore(saved, docs)
     assert names == ["x", "y"] and keys == [1, 2] and cursor == 1
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, a.collect()))
-    assert saved["model"]["vectors"].keys() == {"x", "y"}
+    assert saved["model"]["labels"].keys() == {"x", "y"}
+    folder = f"{R.scratch_folder(spark)}/model"
+    for method in C.TOKENIZERS:
+        model = C.train(docs, labels, method)
+        C.save_model(model, folder)
+        again = C.load_model(spark, folder, C.progress(a, model, "k", ["x"], {}, [], 0, "now")["model"])
+        assert sorted(map(tuple, again.scores(docs).collect())) == sorted(map(tuple, model.scores(docs).collect()))
     with pytest.raises(ValueError):
         C.restore({"version": 2}, docs)
+
+
+def test_copy_keeps_everything(spark, tmp_path):
+    data = b'{"case_id": "1", "other": {"x": [1]}}\n{bad\n\n[1]\r\n\xff'
+    (tmp_path / "in.jsonl").write_bytes(data)
+    assert sinks.copy_input(spark, str(tmp_path / "in.jsonl"), str(tmp_path / "out/copy.jsonl"))
+    assert (tmp_path / "out/copy.jsonl").read_bytes() == data
+    assert not sinks.copy_input(spark, str(tmp_path / "in.jsonl"), str(tmp_path / "in.jsonl")) and (tmp_path / "in.jsonl").read_bytes() == data
+
+
+def test_dense_scores(spark):
+    rows = [(1, "a", [1.0, 0.0], "u"), (2, "b", [0.0, 2.0], "u"), (3, None, [1.0, 1.0], "u"), (4, "a", [0.0, 0.0], "u"), (5, "b", None, "u")]
+    got = {(r.vec_id, r.label): r.score for r in C.dense_scores(spark.createDataFrame(rows, "vec_id long, label string, x array<double>, score string"), "vec_id", "label", "x").collect()}
+    assert got[1, "a"] == 1 and got[1, "b"] == 0 and got[3, "b"] == pytest.approx(0.5**0.5) and got[4, "a"] == 0 and got[5, "b"] == 0

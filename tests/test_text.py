@@ -93,3 +93,10 @@ def test_small_things(spark):
     assert X.small_hash("") == format(5381, "d") or X.small_hash("a") != X.small_hash("b")
     assert one(spark, X.ratio(F.lit(1), F.lit(0))) == 0.0
     assert one(spark, X.range_label(F.lit("2020-01-05").cast("date"), F.lit(None).cast("date"))) == "05 Jan 2020 – n/a"
+
+
+def test_fold_reaches_all_scripts(spark):
+    values = ["Nguyễn Văn", "ĐẶNG", "Ǻngström", "Ёлкина Й", "Άννα ΐ", "Ł ø", None, ""]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    got = [r[0] for r in df.orderBy("i").select(X.fold(F.col("v"))).collect()]
+    assert got == ["nguyen van", "đang", "angstrom", "елкина и", "αννα ι", "ł ø", None, ""]

@@ -38,7 +38,7 @@ def test_response_has_all_hits_and_cases(spark, tmp_path):
 def test_response_without_results(spark, tmp_path):
     corpus = Corpus.load(spark, write(spark, tmp_path / "t", [2, 1], "the court held"))
     (row,) = S.response(S.search(corpus, "zzz", limit=None), 0.1234).collect()
-    assert row.page == 1 and json.loads(row.json) == {"total_hits": 0, "total_cases": 0, "search_time": 0.123, "results": []}
+    assert row.page == 1 and json.loads(row.json) == {"total_hits": 0, "total_cases": 0, "search_time": 0.123, "limited": False, "results": []}
 
 
 def test_export_has_all_hits(spark, tmp_path):
