@@ -142,7 +142,7 @@ add("highlight", lambda c: c.paragraphs.filter(F.lower("text").contains("judgmen
 add("export_rows", lambda c: S.export_rows(c, S.hits(c, "judgment")).select("case_id", "date", "document_types", "separate_opinion", "outcome", "violation", "citations", "section", "paragraph", "text"),
     f"""SELECT h.case_id, strftime(date, '%Y-%m-%d') AS date, array_to_string(types, ', ') AS document_types, CASE WHEN opinion THEN 'yes' ELSE 'no' END AS separate_opinion, outcome, array_to_string(v, '; ') AS violation,
     (SELECT count(*) FROM ci WHERE ci.case_ord = h.case_ord)::INT AS citations, {_case('section', SECTION_LABELS, 'section')} AS section, h.para_idx + 1 AS paragraph, text
-    FROM (SELECT * FROM p WHERE contains(low, 'judgment') ORDER BY case_ord, local_idx, para_id LIMIT 5000) AS h JOIN c ON h.case_ord = c.case_ord""")
+    FROM p AS h JOIN c ON h.case_ord = c.case_ord WHERE contains(low, 'judgment')""")
 add("search_response", lambda c: S.response(S.search(c, "court"), 0.0))
 add("search_pages", lambda c: S.placed(S.search(c, "court")).select("page", "placed.row.case_ord", "placed.row.hits", "placed.row.score"),
     f", r AS ({_ranked("contains(low, 'court')")}) SELECT (row_number() OVER (ORDER BY score DESC, hits DESC, date DESC NULLS LAST, case_ord) - 1) // 20 + 1 AS page, case_ord, hits, score FROM r JOIN c USING (case_ord)")
