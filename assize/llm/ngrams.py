@@ -1,10 +1,10 @@
 """Problem 5: frequencies of all distinct values and terms by suffix sorting.
 
 Every sequence of words gives its suffixes, truncated to the longest wanted n-gram. A suffix is routed by its first
-term (and a salt made of the record, so that no term's rows must fit one task), each task sorts its suffixes
+term; a term with more than ROWS_PER_GROUP suffixes goes into as many groups as that takes, by a salt made of the record. Each task sorts its suffixes
 in reverse lexicographic order and keeps a stack of the prefixes of the current one: as soon as a prefix
 can occur no more, its count and its set of records are complete. Salts split the records, so the counts and
-set sizes of an n-gram add up over the salts.
+set sizes of an n-gram add up over the salts, and no set outgrows a group.
 
 Whole values are counted by the same pass over anchored sequences: the words of the value and an end mark, of which only prefixes that
 reach the end mark are given out.
@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assize.runtime import broadcast_if_small
+
 END = "\x00"
 
 
@@ -72,25 +74,42 @@ def _stack(whole: bool):
     return run
 
 
-def _sorted_counts(suffixes: DataFrame, whole: bool, salts: int) -> DataFrame:
+#: Most suffixes of one first term that one group of a task holds.
+ROWS_PER_GROUP = 200_000
+
+
+def _salts(firsts: DataFrame, rows: int) -> DataFrame:
+    """(field, first, salts): the first terms with more than ``rows`` suffixes, and into how many groups these go. ``firsts``: (field, first), one row per suffix."""
+    counts = firsts.groupBy("field", "first").agg(F.ceil(F.count("*") / rows).alias("salts"))
+    return broadcast_if_small(counts.filter("salts > 1"), label="first-terms")
+
+
+def _sorted_counts(suffixes: DataFrame, whole: bool, salts: DataFrame) -> DataFrame:
     """(field, words, occurrences, records) from rows (field, suffix, doc, n)."""
-    route = F.pmod(F.xxhash64("doc"), F.lit(salts))
     parts = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    routed = suffixes.repartition(parts, "field", F.element_at("suffix", 1), route).sortWithinPartitions(F.desc("field"), F.desc("suffix"))
+    rows = suffixes.withColumn("first", F.element_at("suffix", 1)).join(salts, ["field", "first"], "left")
+    route = F.pmod(F.xxhash64("doc"), F.coalesce("salts", F.lit(1)))
+    routed = rows.repartition(parts, "field", "first", route).select("field", "suffix", "doc", "n").sortWithinPartitions(F.desc("field"), F.desc("suffix"))
     counted = routed.mapInPandas(_stack(whole), "field string, words array<string>, n long, docs long")
     return counted.groupBy("field", F.array_join("words", " ").alias("term")).agg(F.sum("n").alias("occurrences"), F.sum("docs").alias("records"))
 
 
-def value_counts(df: DataFrame, column: str, doc: str, field_name: str, salts: int = 64) -> DataFrame:
+def _rows(df: DataFrame, column: str, doc: str, field_name: str) -> DataFrame:
+    return df.select(F.lit(field_name).alias("field"), term_of(F.col(column)).alias("term"), F.col(doc).alias("doc")).filter("term <> '' and doc is not null")
+
+
+def value_counts(df: DataFrame, column: str, doc: str, field_name: str, rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
     """(field, term, occurrences, records) of every non-blank value; rows without a record id are left out."""
-    rows = df.select(F.lit(field_name).alias("field"), term_of(F.col(column)).alias("term"), F.col(doc).alias("doc")).filter("term <> '' and doc is not null")
+    rows = _rows(df, column, doc, field_name)
+    salts = _salts(rows.select("field", F.substring_index("term", " ", 1).alias("first")), rows_per_group)
     once = rows.groupBy("field", "term", "doc").agg(F.count("*").alias("n"))
     return _sorted_counts(once.select("field", F.concat(F.split("term", " "), F.array(F.lit(END))).alias("suffix"), "doc", "n"), True, salts)
 
 
-def ngram_counts(df: DataFrame, column: str, doc: str, field_name: str, longest: int = 3, least: int = 1, salts: int = 64) -> DataFrame:
+def ngram_counts(df: DataFrame, column: str, doc: str, field_name: str, longest: int = 3, least: int = 1, rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
     """(field, term, occurrences, records) of all n-grams of up to ``longest`` words that occur ``least`` times."""
-    rows = df.select(F.lit(field_name).alias("field"), term_of(F.col(column)).alias("term"), F.col(doc).alias("doc")).filter("term <> '' and doc is not null")
+    rows = _rows(df, column, doc, field_name)
+    salts = _salts(rows.select("field", F.explode(F.split("term", " ")).alias("first")), rows_per_group)
     words = rows.groupBy("field", "term", "doc").agg(F.count("*").alias("n")).withColumn("w", F.split("term", " "))
     cut = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.slice("w", i, longest))
     suffixes = words.select("field", "doc", "n", F.explode(cut).alias("suffix"))

@@ -55,15 +55,15 @@ VALUES = [(1, "Fair  Trial"), (1, "fair trial"), (2, " FAIR TRIAL "), (2, None),
 
 def test_values(spark):
     df = spark.createDataFrame([(c, v, "d") for c, v in VALUES], "case_ord long, v string, doc string")
-    got = {r.term: (r.occurrences, r.records) for r in N.value_counts(df, "v", "case_ord", "f", salts=3).collect()}
+    got = {r.term: (r.occurrences, r.records) for r in N.value_counts(df, "v", "case_ord", "f", rows_per_group=2).collect()}
     assert got == {"fair trial": (5, 3), "fair": (1, 1), "fair trial now": (1, 1), "trial": (1, 1), "fa​ir trial": (1, 1)}
     marks = {r.term: r.mark for r in N.marked(N.value_counts(df, "v", "case_ord", "f"), N.record_totals(df, "v", "case_ord", "f")).collect()}
     assert marks["fair trial"] == "common" and marks["trial"] == "rare"
     assert N.value_counts(df.filter("false"), "v", "case_ord", "f").count() == 0
 
 
-@pytest.mark.parametrize("salts", [1, 7])
-def test_ngrams(spark, salts):
+@pytest.mark.parametrize("rows", [1, 3, 1000])
+def test_ngrams(spark, rows):
     df = spark.createDataFrame(VALUES, "case_ord long, v string")
     n, docs = Counter(), defaultdict(set)
     for c, v in VALUES:
@@ -73,11 +73,12 @@ def test_ngrams(spark, salts):
             for j in range(i + 1, min(len(w), i + 2) + 1):
                 n[" ".join(w[i:j])] += 1
                 docs[" ".join(w[i:j])].add(c)
-    got = {r.term: (r.occurrences, r.records) for r in N.ngram_counts(df, "v", "case_ord", "f", longest=2, salts=salts).collect()}
+    got = {r.term: (r.occurrences, r.records) for r in N.ngram_counts(df, "v", "case_ord", "f", longest=2, rows_per_group=rows).collect()}
     assert got == {t: (k, len(docs[t])) for t, k in n.items()}
 
 
 def test_one_hot_first_term(spark):
     df = spark.range(5000).select((F.col("id") % 900).alias("case_ord"), F.concat(F.lit("hot "), F.col("id") % 50).alias("v"))
-    got = {r.term: r.records for r in N.ngram_counts(df, "v", "case_ord", "f", longest=1).collect()}
+    got = {r.term: r.records for r in N.ngram_counts(df, "v", "case_ord", "f", longest=1, rows_per_group=100).collect()}
     assert got["hot"] == 900
+    assert [tuple(r) for r in N._salts(df.select(F.lit("f").alias("field"), F.lit("hot").alias("first")), 100).collect()] == [("f", "hot", 50)]
