@@ -8,15 +8,16 @@ item with other parameters.
 Words are the longest runs of letters and digits and compare without case. An item of fewer words than
 a window leaks by all of its words in a row. Null and empty texts, and items without words, leak nothing.
 
-The items are a stated query set. They are taken in blocks of a bounded number of words, and each block
-goes against all documents; the document side is read in one pass per block and never shuffled by item.
+The items are a stated query set. Their windows are a table; what every task gets of it are the distinct hashes alone, of HASH_BYTES at most. Documents are read once and give
+the windows whose hash is among these, few as a rule, which are then joined with the table by hash. More hashes than that are taken in blocks, one after the other, with a pass over
+the documents each, so that never more than one block is broadcast.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,13 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assize.llm.shingles import window_hashes
+from assize.runtime import broadcast_if_small, materialize
 
 WORD = re.compile(r"[^\W_]+")
 #: Units that fill a slot of their own (fixed values).
 UNITS = frozenset("day days week weeks month months year years hour hours minute minutes euro euros pound pounds dollar dollars km metre metres mile miles kg percent acre acres".split())
 NUMBER, NAME, UNIT = "\x01number", "\x01name", "\x01unit"
-#: Words of items in one block; the block's tables are the only thing that is broadcast.
-BLOCK_WORDS = 2_000_000
+#: Bytes of window hashes that are broadcast at a time (eight each).
+HASH_BYTES = 64 << 20
 
 
 def is_number(word: str) -> bool:
@@ -47,13 +49,14 @@ class Templates:
     that equal words always get equal placeholders.
     """
 
-    def __init__(self, items: list[str]):
-        small, capital = set(), set()
+    def __init__(self, items: Iterable[str]):
+        small, capital, all_ = set(), set(), set()
         for text in items:
             last = 0
             for m in WORD.finditer(text):
                 inside = not re.search(r"[.?!:\n]|^$", text[last : m.start()]) and last > 0
                 w = m[0]
+                all_.add(w.lower())
                 if w[:1].isupper():
                     if inside and not w.isupper():
                         capital.add(w.lower())
@@ -61,7 +64,7 @@ class Templates:
                     small.add(w.lower())
                 last = m.end()
         self.names = frozenset(capital - small)
-        self.ordinary = frozenset(w.lower() for t in items for w in WORD.findall(t)) - self.names
+        self.ordinary = frozenset(all_) - self.names
         self._known: dict[str, int] = {}
 
     def of(self, word: str) -> str:
@@ -90,93 +93,124 @@ class Templates:
         return {"names": self.names, "ordinary": self.ordinary, "_known": {}}
 
 
-class Windows:
-    """Hash table of the template windows of a block of items."""
-
-    def __init__(self, items: list[tuple[int, str]], size: int):
-        self.size, self.templates = size, Templates([t for _, t in items])
-        self.words = {i: w for i, t in items if (w := [m.lower() for m in WORD.findall(t)])}
-        raw = {i: WORD.findall(t) for i, t in items}
-        self.lengths = sorted({min(size, len(w)) for w in self.words.values()})
-        self.table: dict[int, dict[int, list[tuple[int, int]]]] = {n: defaultdict(list) for n in self.lengths}
-        for i, w in self.words.items():
-            n = min(size, len(w))
-            hashes, _, at = window_hashes([self.templates.ids(raw[i])], n)
-            for h, a in zip(hashes.tolist(), at.tolist()):
-                self.table[n][h].append((i, a))
-        self.hashes = {n: np.array(sorted(t), dtype=np.uint64) for n, t in self.table.items()}
-
-    def hits(self, texts: list[str]) -> Iterator[tuple[int, int, str, int]]:
-        """(document number, item, kind, words) for each window in common; kind is verbatim or reparameterised."""
-        raw = [WORD.findall(t) for t in texts]
-        ids = [self.templates.ids(w) for w in raw]
-        for n in self.lengths:
-            # a document shorter than the window cannot hold it
-            long = [d if len(d) >= n else [] for d in ids]
-            hashes, owner, at = window_hashes(long, n)
-            if not len(hashes):
-                continue
-            table = self.hashes[n]
-            place = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
-            for k in np.flatnonzero(table[place] == hashes).tolist():
-                d, a = int(owner[k]), int(at[k])
-                got = [w.lower() for w in raw[d][a : a + n]]
-                for item, b in self.table[n][int(hashes[k])]:
-                    want = self.words[item][b : b + n]
-                    if got == want:
-                        yield d, item, "verbatim", n
-                    elif self._same_slots(got, want):
-                        yield d, item, "reparameterised", n
-
-    def _same_slots(self, got: list[str], want: list[str]) -> bool:
-        """Whether each filler stands for one other throughout, and ordinary words agree."""
-        there, back = {}, {}
-        for g, w in zip(got, want):
-            slot = self.templates.of(w)
-            if slot == w and g != w:
-                return False
-            if there.setdefault(w, g) != g or back.setdefault(g, w) != w:
-                return False
-        return True
-
-
-_HITS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("windows", T.LongType())])
-
-
-def blocks(items: DataFrame, item_id: str, text: str, most_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of at most ``most_words`` words (an item of more is a block), streamed to the driver."""
-    block, words = [], 0
-    for r in items.select(F.col(item_id).cast("long"), F.col(text)).filter(F.col(text).isNotNull() & F.col(item_id).isNotNull()).toLocalIterator():
-        n = len(r[1]) // 2
-        if block and words + n > most_words:
-            yield block
-            block, words = [], 0
-        block.append((r[0], r[1]))
-        words += n
-    if block:
-        yield block
+def same_slots(templates: Templates, got: list[str], want: list[str]) -> bool:
+    """Whether each filler stands for one other throughout, and ordinary words agree."""
+    there, back = {}, {}
+    for g, w in zip(got, want):
+        slot = templates.of(w)
+        if slot == w and g != w:
+            return False
+        if there.setdefault(w, g) != g or back.setdefault(g, w) != w:
+            return False
+    return True
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 12) -> DataFrame:
-    """(doc_id, item_id, kind, windows): how many windows of ``size`` words a document shares with an item, by kind."""
-    spark = docs.sparkSession
-    out = spark.createDataFrame([], _HITS)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("text is not null and doc_id is not null")
-    for block in blocks(items, item_id, item_text):
-        shared = spark.sparkContext.broadcast(Windows(block, size))
+def _words_and_ids(templates: Templates, texts: list[str]) -> tuple[list[list[str]], list[list[int]]]:
+    raw = [WORD.findall(t) for t in texts]
+    return raw, [templates.ids(w) for w in raw]
+
+
+def _windows(ids: list[list[int]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, number of the text, first word) of all windows of ``n`` words; a text of fewer words has none."""
+    hashes, owner, at = window_hashes([d if len(d) >= n else [] for d in ids], n)
+    return hashes.view(np.int64), owner, at
+
+
+_WINDOW = "item_id long, n int, hash long, want array<string>"
+_HIT = "doc_id long, n int, hash long, got array<string>"
+
+
+class Items:
+    """The template windows of the evaluation items as a table."""
+
+    def __init__(self, items: DataFrame, item_id: str, text: str, size: int):
+        rows = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).filter("text is not null and item_id is not null")
+        # the words of the items, and which of them are names: a vocabulary
+        self.templates = rows.sparkSession.sparkContext.broadcast(Templates(r[0] for r in rows.select("text").toLocalIterator()))
+        shared = self.templates
+
+        def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                out = []
+                for i, t in zip(b["item_id"].tolist(), b["text"].tolist()):
+                    raw, ids = _words_and_ids(shared.value, [t])
+                    n = min(size, len(raw[0]))
+                    if n:
+                        hashes, _, at = _windows(ids, n)
+                        low = [w.lower() for w in raw[0]]
+                        out += [(i, n, h, low[a : a + n]) for h, a in zip(hashes.tolist(), at.tolist())]
+                yield pd.DataFrame(out, columns=["item_id", "n", "hash", "want"])
+
+        self.windows = materialize(rows.mapInPandas(cut, _WINDOW), "item-windows")
+
+    def blocks(self) -> Iterator[dict[int, np.ndarray]]:
+        """Sorted hashes by length of window, at most HASH_BYTES together; streamed from the table."""
+        most, block, held = HASH_BYTES // 8, {}, 0
+        for r in self.windows.select("n", "hash").distinct().orderBy("n", "hash").toLocalIterator(prefetchPartitions=True):
+            if held == most:
+                yield {n: np.frombuffer(h, dtype=np.int64) for n, h in block.items()}
+                block, held = {}, 0
+            block.setdefault(r.n, array("q")).append(r.hash)
+            held += 1
+        if held:
+            yield {n: np.frombuffer(h, dtype=np.int64) for n, h in block.items()}
+
+
+def _hits(docs: DataFrame, items: Items) -> DataFrame:
+    """(item_id, want, doc_id, got) of every window of a document whose template is that of an item's window."""
+    spark, templates = docs.sparkSession, items.templates
+    blocks = items.blocks()
+    parts, block = [], next(blocks, None)
+    while block is not None:
+        shared, more = spark.sparkContext.broadcast(block), next(blocks, None)
 
         def find(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for b in batches:
-                found: dict[tuple, int] = defaultdict(int)
-                ids = b["doc_id"].tolist()
-                for d, item, kind, _ in shared.value.hits(b["text"].tolist()):
-                    found[ids[d], item, kind] += 1
-                yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["doc_id", "item_id", "kind", "windows"])
+                out = []
+                docs = b["doc_id"].tolist()
+                raw, ids = _words_and_ids(templates.value, b["text"].tolist())
+                for n, table in shared.value.items():
+                    hashes, owner, at = _windows(ids, n)
+                    if len(hashes):
+                        place = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
+                        for k in np.flatnonzero(table[place] == hashes).tolist():
+                            d, a = int(owner[k]), int(at[k])
+                            out.append((docs[d], n, int(hashes[k]), [w.lower() for w in raw[d][a : a + n]]))
+                yield pd.DataFrame(out, columns=["doc_id", "n", "hash", "got"])
+
+        part = docs.mapInPandas(find, _HIT)
+        if parts or more is not None:  # one block at a time
+            part = materialize(part, "leak-hits")
+            shared.unpersist()
+        parts.append(part)
+        block = more
+    if not parts:
+        return spark.createDataFrame([], "item_id long, want array<string>, doc_id long, got array<string>")
+    hits = parts[0]
+    for part in parts[1:]:
+        hits = hits.unionByName(part)
+    return hits.join(broadcast_if_small(items.windows, label="item-windows"), ["n", "hash"]).select("item_id", "want", "doc_id", "got")
+
+
+def _documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("text is not null and doc_id is not null")
+
+
+def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 12) -> DataFrame:
+    """(doc_id, item_id, kind, windows): how many windows of ``size`` words a document shares with an item, by kind (verbatim or reparameterised)."""
+    own = Items(items, item_id, item_text, size)
+    templates = own.templates
+
+    @F.pandas_udf(T.BooleanType())
+    def consistent(got: pd.Series, want: pd.Series) -> pd.Series:
+        return pd.Series([same_slots(templates.value, list(g), list(w)) for g, w in zip(got, want)], dtype=bool)
 
-        out = out.unionByName(rows.mapInPandas(find, _HITS))
-    return out.groupBy("doc_id", "item_id", "kind").agg(F.sum("windows").alias("windows"))
+    hits = _hits(_documents(docs, doc_id, text), own).withColumn("kind", F.when(F.col("got") == F.col("want"), "verbatim"))
+    hits = hits.filter(F.col("kind").isNotNull() | consistent("got", "want"))
+    return hits.groupBy("doc_id", "item_id", F.coalesce("kind", F.lit("reparameterised")).alias("kind")).agg(F.count("*").alias("windows"))
 
 
 def found(docs: DataFrame, items: DataFrame, size: int = 12) -> DataFrame:
     """(doc_id, item_id) with a verbatim passage."""
-    return leaks(docs, items, size=size).filter("kind = 'verbatim'").select("doc_id", "item_id")
+    hits = _hits(_documents(docs, "doc_id", "text"), Items(items, "item_id", "text", size))
+    return hits.filter(F.col("got") == F.col("want")).select("doc_id", "item_id").distinct()
