@@ -50,18 +50,19 @@ def test_leaks(spark):
     assert leakage.found(df.filter("false"), it).count() == 0 and leakage.found(df, it.filter("false")).count() == 0
 
 
-def test_blocks_give_the_same(spark):
+def test_blocks_give_the_same(spark, monkeypatch):
     rng = random.Random(3)
     items = [(i, " ".join(passage(rng, 20))) for i in range(9)]
     docs = [(i, t) for i, t in items] + [(50, "nothing here")]
     df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     whole = {tuple(r) for r in leakage.found(df, it).collect()}
-    old, leakage.blocks.__defaults__ = leakage.blocks.__defaults__, (60,)
-    try:
-        assert len(list(leakage.blocks(it, "item_id", "text"))) > 3
-        assert {tuple(r) for r in leakage.found(df, it).collect()} == whole
-    finally:
-        leakage.blocks.__defaults__ = old
+    assert len(whole) >= 9
+    monkeypatch.setattr(leakage, "HASH_BYTES", 8 * 20)
+    assert len(list(leakage.Items(it, "item_id", "text", 12).blocks())) > 3
+    assert {tuple(r) for r in leakage.found(df, it).collect()} == whole
+    kinds = {tuple(r) for r in leakage.leaks(df, it).collect()}
+    monkeypatch.undo()
+    assert {tuple(r) for r in leakage.leaks(df, it).collect()} == kinds
 
 
 def test_reparameterised(spark):
@@ -109,6 +110,27 @@ def test_reachable_shares_are_met(spark):
     assert abs(r["a"].actual_share - 0.6) < 0.002 and r["a"].passes == 2 and r["b"].passes == 1
 
 
+def test_tiny_share_and_small_spans(spark, monkeypatch):
+    """A source of a tiny share stretches the finish times; the span in which the budget ends is narrowed all the same."""
+    from assize.llm import mixing
+
+    monkeypatch.setattr(mixing, "EDGE_ROWS", 5)
+    monkeypatch.setattr(mixing, "SLOTS", 8)
+    docs = [(i, f"text number {i} with words", "a" if i % 2 else "b", 0) for i in range(400)] + [(900, "one text of a rare source", "c", 0), (901, "another text of it", "c", 0)]
+    m = mixture(spark, docs, [("a", 0.5, 50), ("b", 0.499999, 3), ("c", 0.000001, 40)])
+    low, high, used = m._edge()
+    assert low <= high and used <= m.budget and m.queue().filter(f"finish between {low} and {high}").count() <= 5
+    got, used, want = {(r.doc_id, r["pass"]) for r in m.mix().collect()}, 0, set()
+    for _, _, d, p, n in sorted((r.finish, r.source, r.doc_id, r["pass"], r.tokens) for r in m.queue().collect()):
+        if used + n > m.budget:
+            break
+        used += n
+        want.add((d, p))
+    assert got == want and 0 <= m.budget - used < 20
+    # passes that cannot fall within the budget are not made
+    assert m.queue().agg(F.max("pass")).first()[0] <= 2
+
+
 def test_empty_mix(spark):
     m = mixture(spark, [], [("a", 1.0, 1)])
     assert m.mix().count() == 0 and m.report().first().actual_share == 0.0
