@@ -256,11 +256,11 @@ def char_ngrams(c: Column, low: int = 3, high: int = 5) -> Column:
 
 
 def highlight(c: Column, terms: list[str]) -> Column:
-    """The terms wrapped in a mark, in one pass with longer terms first, so that inserted marks are never searched."""
+    """The terms of escaped text wrapped in a mark, in one pass with longer terms first, so that inserted marks are never searched, nor are the names of entities."""
     wanted = sorted({t for t in terms if t}, key=lambda t: (-len(t), t))
     if not wanted:
         return c
-    pattern = "(?iu)(" + "|".join(re.escape(t) for t in wanted) + ")"
+    pattern = "(?iu)(?<!&[a-z#0-9]{0,5})(" + "|".join(re.escape(t) for t in wanted) + ")"
     return F.regexp_replace(c, pattern, '<mark class="hl">$1</mark>')
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ from assize.operators import search as S
 from assize.operators import statistics as A
 from assize.operators import structure as M
 from assize.operators.corpus import Corpus, latest_rows, numbered, unique_ids
-from assize.runtime import table
+from assize.runtime import scratch_folder, table
+from assize.sources import jsonl, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -237,8 +239,73 @@ add("set_overlap", lambda c: c.cases.select("case_ord", F.arrays_overlap("violat
     "SELECT case_ord, list_has_any(v, nv) AS overlap, array_to_string(list_sort(list_distinct(list_filter(v, lambda x: NOT list_contains(nv, x)))), '|') AS only_violation FROM c")
 add("json_props", lambda s, d: table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), X.is_present(F.get_json_object("props", "$.k"), "string").alias("present")), "SELECT event_id, json_extract(props, '$.k')::INT AS k, json_extract(props, '$.k') IS NOT NULL AS present FROM events", raw=True)
 
+add("presence_loose", lambda s, d: table(s, d, "cases").select("case_ord", *[X.is_present(F.col(f), k, loose=True).alias(f) for f, k in (("title", "string"), ("conclusion", "string"), ("violation", "array"))]),
+    "SELECT case_ord, coalesce(title <> '', false) AS title, coalesce(conclusion <> '', false) AS conclusion, coalesce(len(violation) > 0, false) AS violation FROM cases", raw=True)
+add("chamber_types", lambda c: c.cases.groupBy(X.chamber_by_type(F.col("doc_types")).alias("chamber")).agg(F.count("*").alias("n")),
+    "SELECT CASE WHEN list_contains(types, 'GRANDCHAMBER') THEN 'GRANDCHAMBER' WHEN list_contains(types, 'CHAMBER') THEN 'CHAMBER' ELSE 'OTHER' END AS chamber, count(*) AS n FROM c GROUP BY 1")
+
+# --- sources and sinks, by way of files in the shared folder
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_FIELDS = ("case_id", "case_no", "title", "judgment_date", "article_no", "conclusion")
+
+
+def _round_trip(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark, "jsonl")
+    sinks.write_jsonl(table(spark, d, "cases").withColumnRenamed("non_violation", "non-violation"), path)
+    rows = jsonl.read_strict(spark, path)
+    return rows.select(*_FIELDS, F.array_join("violation", "|").alias("violation"), F.array_join("non-violation", "|").alias("non_violation"), F.size("court_assessment_references.case_references").alias("references"))
+
+
+add("jsonl_round_trip", _round_trip, f"SELECT {', '.join(_FIELDS)}, array_to_string(violation, '|') AS violation, array_to_string(non_violation, '|') AS non_violation, len(court_assessment_references.case_references)::INT AS \"references\" FROM cases", raw=True)
+
+
+def _tolerant(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark, "lines")
+    table(spark, d, "echr_decisions_sample").select(F.regexp_replace("payload", "[\r\n]", " ").alias("value")).write.text(path)
+    rows, counts = jsonl.read_tolerant(spark, path)
+    return counts.withColumn("with_paragraphs", rows.agg(F.count_if(F.size("paragraphs") > 0)).scalar())
+
+
+_LINE = r"regexp_replace(regexp_replace(payload, '[\r\n]', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+add("jsonl_tolerant", _tolerant, f""", l AS (SELECT {_LINE} AS v FROM echr_decisions_sample WHERE {_LINE} <> ''), k AS (SELECT v, json_valid(v) AND v LIKE '{{%' AS ok FROM l)
+    SELECT count(*) AS total, count(*) FILTER (ok) AS valid, count(*) FILTER (NOT ok) AS invalid, count(*) FILTER (CASE WHEN ok THEN CASE json_type(json_extract(v, '$.paragraphs')) WHEN 'ARRAY' THEN json_array_length(json_extract(v, '$.paragraphs')) > 0
+      WHEN 'VARCHAR' THEN json_extract_string(v, '$.paragraphs') <> '[]' WHEN 'NULL' THEN false ELSE json_extract(v, '$.paragraphs') IS NOT NULL END END) AS with_paragraphs FROM k""", raw=True)
+
+
+def _sample(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark, "sample")
+    sinks.write_sample(table(spark, d, "cases"), path)
+    return spark.read.schema("case_ord long, case_id string, title string").json(path)
+
+
+add("sample_first", _sample, "SELECT case_ord, case_id, title FROM cases ORDER BY case_ord LIMIT 50", raw=True)
+
 # --- structuring
 
+
+def _structured(spark: SparkSession, d: str) -> DataFrame:
+    none = F.lit(None).cast("array<string>")
+    raw = table(spark, d, "cases").select(
+        "case_ord", F.when(F.col("originating_body").isNotNull(), F.array("originating_body")).alias("originating_body"), F.array("title", "conclusion").alias("introduction"),
+        "violation", F.col("non_violation").alias("non-violation"), F.when(F.col("document_type").isNotNull(), F.array("document_type")).alias("document_type"),
+        *[none.alias(f) for f in ("chamber_composed_of", "legal_context", "facts", "relevant_legal_framework_practice", "law", "reasons_the_court_unanimously", "separate_opinions")],
+    )
+    return M.structure_cases(raw)
+
+
+add("structure_parts", _structured, r""", u AS (SELECT case_ord, 0 AS k, 0 AS i, 'header' AS section, 'Originating body: ' || originating_body AS text FROM cases
+    UNION ALL SELECT case_ord, 0, 1, 'header', 'Document type: ' || document_type FROM cases
+    UNION ALL SELECT case_ord, 1, 0, 'introduction', title FROM cases UNION ALL SELECT case_ord, 1, 1, 'introduction', conclusion FROM cases
+    UNION ALL SELECT case_ord, 8, i, 'operative_part', 'Violation: ' || trim(x) FROM (SELECT case_ord, unnest(violation) AS x, generate_subscripts(violation, 1) AS i FROM cases) WHERE trim(x) <> ''
+    UNION ALL SELECT case_ord, 9, i, 'operative_part', 'No violation: ' || trim(x) FROM (SELECT case_ord, unnest(non_violation) AS x, generate_subscripts(non_violation, 1) AS i FROM cases) WHERE trim(x) <> ''),
+    t AS (SELECT case_ord, k, i, section, regexp_replace(text, '^[\s\x{A0}\x{2007}\x{2009}\x{202F}\x{3000}]+|[\s\x{A0}\x{2007}\x{2009}\x{202F}\x{3000}]+$', '', 'g') AS text FROM u)
+    SELECT case_ord, (row_number() OVER (PARTITION BY case_ord ORDER BY k, i) - 1)::INT AS para_idx, section, text FROM t WHERE text <> ''""", raw=True)
+
 add("law_sections", lambda c: M.law_sections(c.paragraphs, "case_ord", ["local_idx", "para_id"], "text"))
 _HEAD = r"CASE WHEN regexp_matches(text, '^[IVX]+\.\s+[A-Z]') AND length(text) < 120 AND {0} IS NOT NULL THEN {0} WHEN length(text) < 100 AND NOT text LIKE '%.' AND length({1}) > 2 AND regexp_matches({1}, '^\p{{Lu}}') THEN {2} END"
 _CLEAN, _ROMAN = r"regexp_replace(text, '^\d+\.\s*', '')", r"regexp_replace(text, '^[IVX]+\.\s*', '')"
@@ -326,6 +393,16 @@ def _edited(c: Corpus) -> DataFrame:
 
 add("classifier_edits", _edited, """SELECT count(*) FILTER (para_id % 5 < 2) AS manual, count(*) FILTER (para_id % 5 < 2 AND section IN ('merits', 'admissibility')) AS manual_in_sections,
     0 AS predicted, count(*) FILTER (para_id % 5 = 3) AS excluded FROM p""")
+def _changed(c: Corpus) -> DataFrame:
+    """What applying predictions changes: the section as label for every second document, after `old` had been predicted for every third."""
+    docs = c.paragraphs.select(F.col("para_id").alias("doc"), "section")
+    made = lambda n, label: docs.filter(F.col("doc") % n == 0).select("doc", F.lit(1).alias("rank"), label.alias("label"))
+    before = C.apply_predictions(C.no_assignments(docs.sparkSession), docs, made(3, F.lit("old")))
+    return C.changes(before, C.apply_predictions(before, docs, made(2, F.col("section"))), docs)
+
+
+add("classifier_changes", _changed, """SELECT count(*) AS evaluated, count(*) FILTER (para_id % 2 = 0) AS tagged, count(*) FILTER (para_id % 2 = 0) AS labels,
+    count(*) FILTER (para_id % 2 = 0 OR para_id % 3 = 0) AS changed FROM p""")
 add("classifier_sample", lambda c: C.sample(c.paragraphs.select(F.col("para_id").alias("doc"), "section"), C.no_assignments(c.paragraphs.sparkSession)).agg(F.count("*").alias("n")), "SELECT least(30, count(*)) AS n FROM p")
 
 

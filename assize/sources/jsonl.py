@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import os
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assize.functions import text as X
+from assize.operators.nested import parse_json
 
 
 def _strings(*names: str) -> list[T.StructField]:
@@ -30,14 +33,42 @@ LIMITS = {"maxNestingDepth": str(2**31 - 1), "maxNumLen": str(2**31 - 1), "maxSt
 _ANY = T.StructType(_strings("case_id", "_corrupt"))
 
 
+@F.pandas_udf(T.BooleanType())
+def _is_json(values: pd.Series) -> pd.Series:
+    def check(v: str | None) -> bool:
+        if v is None:
+            return False
+        try:
+            return isinstance(parse_json(v), dict)
+        except json.JSONDecodeError:
+            return False
+
+    return pd.Series([check(v) for v in values], dtype=bool)
+
+
 def holds_object(value: Column) -> Column:
-    """Whether a trimmed text is a JSON object; one of fields with other types than wanted is."""
-    parsed = F.from_json(value, _ANY, LIMITS | {"columnNameOfCorruptRecord": "_corrupt"})
-    return F.coalesce(value.startswith("{") & parsed["_corrupt"].isNull(), F.lit(False))
+    """Whether a trimmed text is a JSON object; one of fields with other types than wanted is.
+
+    The JVM's strict parser decides, but for what only its limits of depth or digits may make it refuse.
+    """
+    strict = F.schema_of_variant(F.try_parse_json(value))
+    lax = F.from_json(value, _ANY, LIMITS | {"columnNameOfCorruptRecord": "_corrupt"})
+    disputed = strict.isNull() & value.startswith("{") & lax["_corrupt"].isNull()
+    return F.coalesce(strict.startswith("OBJECT"), F.lit(False)) | _is_json(F.when(disputed, value))
 
 
 def record_of(value: Column, schema: T.StructType = CASE_SCHEMA) -> Column:
-    return F.from_json(value, schema, LIMITS)
+    """The record of a JSON object. Paragraphs may be given alone, as JSON text, or as bare texts; one of another shape costs the others nothing."""
+    texts = T.StructType([T.StructField(f.name, T.StringType()) if f.dataType == T.ArrayType(PARAGRAPH) else f for f in schema])
+    record = F.from_json(value, texts, LIMITS)
+    for f in schema:
+        if f.dataType == T.ArrayType(PARAGRAPH):
+            own = record[f.name]
+            entries = F.coalesce(F.when(F.ltrim(own).startswith("["), F.from_json(own, T.ArrayType(T.StringType()), LIMITS)), F.when(own.isNotNull(), F.array(own)))
+            bare = lambda e: F.struct(F.lit(None).cast("string").alias("section"), e.alias("text"), F.lit(None).cast("string").alias("para_idx"))
+            made = F.transform(entries, lambda e: F.when(F.ltrim(e).startswith("{"), F.coalesce(F.from_json(e, PARAGRAPH, LIMITS), bare(e))).when(e.isNotNull(), bare(e)))
+            record = record.withField(f.name, made)
+    return record
 
 
 def read_strict(spark: SparkSession, path: str, schema: T.StructType = CASE_SCHEMA) -> DataFrame:

@@ -189,3 +189,11 @@ def test_dense_scores(spark):
     rows = [(1, "a", [1.0, 0.0], "u"), (2, "b", [0.0, 2.0], "u"), (3, None, [1.0, 1.0], "u"), (4, "a", [0.0, 0.0], "u"), (5, "b", None, "u")]
     got = {(r.vec_id, r.label): r.score for r in C.dense_scores(spark.createDataFrame(rows, "vec_id long, label string, x array<double>, score string"), "vec_id", "label", "x").collect()}
     assert got[1, "a"] == 1 and got[1, "b"] == 0 and got[3, "b"] == pytest.approx(0.5**0.5) and got[4, "a"] == 0 and got[5, "b"] == 0
+
+
+def test_paragraphs_of_any_shape(spark, tmp_path):
+    lines = ['{"paragraphs": [{"text": "a", "para_idx": 3, "notes": [1]}, null, "bare", 5, {"text": ["x"]}]}', '{"paragraphs": "[{\\"text\\": \\"b\\"}]"}', '{"paragraphs": {"text": "c"}}', '{"paragraphs": "d"}', '{"paragraphs": null}', '{"paragraphs": []}']
+    (tmp_path / "a.json").write_text("\n".join(lines))
+    rows, _ = jsonl.read_tolerant(spark, str(tmp_path))
+    got = [None if r.paragraphs is None else [p and p.text for p in r.paragraphs] for r in rows.orderBy("line_order").collect()]
+    assert got == [["a", None, "bare", "5", '["x"]'], ["b"], ["c"], ["d"], None, []]

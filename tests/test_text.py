@@ -100,3 +100,8 @@ def test_fold_reaches_all_scripts(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
     got = [r[0] for r in df.orderBy("i").select(X.fold(F.col("v"))).collect()]
     assert got == ["nguyen van", "đang", "angstrom", "елкина и", "αννα ι", "ł ø", None, ""]
+
+
+def test_highlight_leaves_entities(spark):
+    html = one(spark, X.highlight(X.escape_html(F.col("v")), ["amp", "lt", "court & law"]), v="R&D amp <lt> & court")
+    assert html == 'R&amp;D <mark class="hl">amp</mark> &lt;<mark class="hl">lt</mark>&gt; &amp; court'
