@@ -5,6 +5,9 @@ forms, ligatures) become ordinary ones, accents are composed, ignorable characte
 tab and line ends become a space, and look-alike letters inside words of Latin letters become Latin.
 The *comparison key* adds full case folding and levelled blanks on top, so that equal-looking names compare equal.
 
+A text is found inconsistent in two steps: its compatibility form, composed, without ignorable characters and with blanks mapped, must differ from
+it (or a word must mix scripts), and then so must its consistent form, which leaves alone signs such as `…` or `²` that the compatibility form dissolves.
+
 Both are computed in Arrow batches, once per distinct value of a batch, and only for values that hold a
 character outside printable ASCII; the others are their own consistent form. Nulls stay null.
 """
@@ -23,9 +26,9 @@ from pyspark.sql import types as T
 #: Look-alike letters of other scripts and the Latin letters they are read as (fixed values).
 LOOKALIKES = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ї": "Ï", "Ј": "J", "Ԛ": "Q", "Ԝ": "W", "Ү": "Y",
-    "а": "a", "в": "b", "г": "r", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "п": "n", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ї": "ï", "ј": "j", "ԛ": "q", "ԝ": "w", "һ": "h", "ԁ": "d", "ё": "ë", "Ё": "Ë", "ь": "b",
+    "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "п": "n", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ї": "ï", "ј": "j", "ԛ": "q", "ԝ": "w", "һ": "h", "ԁ": "d", "ё": "ë", "Ё": "Ë",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
-    "α": "a", "γ": "y", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "σ": "o", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "η": "n", "ε": "e", "μ": "u",
+    "α": "a", "γ": "y", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "σ": "o", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "η": "n", "ε": "e",
 }
 
 #: Not visible: default-ignorable characters, other format characters, and controls other than tab and line ends.
@@ -68,7 +71,17 @@ class _Plain(dict):
         return value
 
 
-_PLAIN = _Plain()
+class _Mapped(dict):
+    """As _Plain, but only for ignorable characters and blanks."""
+
+    def __missing__(self, code: int) -> str:
+        ch = chr(code)
+        value = "" if INVISIBLE.match(ch) else " " if BLANK.match(ch) else ch
+        self[code] = value
+        return value
+
+
+_PLAIN, _MAPPED = _Plain(), _Mapped()
 
 
 def consistent(value: str) -> str:
@@ -82,6 +95,11 @@ def consistent(value: str) -> str:
     return x
 
 
+def compatible(value: str) -> str:
+    """The full compatibility form, composed, without ignorable characters and with blanks mapped."""
+    return unicodedata.normalize("NFKC", value.translate(_MAPPED))
+
+
 def mixes_scripts(value: str) -> bool:
     """Whether a word of the text has Latin letters and letters of another script."""
     x = value.translate(_PLAIN)
@@ -92,17 +110,15 @@ def inconsistent(value: str) -> bool:
     """Whether the text is not in the consistent form, or has a word of mixed scripts that no look-alike explains."""
     if value.isascii() and value.isprintable():
         return False
-    return consistent(value) != value or mixes_scripts(value)
+    mixed = mixes_scripts(value)
+    return mixed or (compatible(value) != value and consistent(value) != value)
 
 
 def comparison_key(value: str) -> str:
     """Compatibility form, full case folding, composed, blanks levelled: equal for texts that look alike."""
-    x = consistent(value)  # before folding, as capitals and small letters look like different ones
-    for _ in range(4):  # folding may open a further step
-        y = consistent(unicodedata.normalize("NFKC", x).casefold())
-        if y == x:
-            break
-        x = y
+    x, last = consistent(value), None  # before folding, as capitals and small letters look like different ones
+    while x != last:  # folding may open a further step
+        last, x = x, consistent(compatible(x).casefold())
     return " ".join(x.split())
 
 

@@ -45,6 +45,26 @@ def test_equal_looking_names_compare_equal(spark):
     assert K.find_inconsistent(df.filter("false"), "entry_id", "judge", "judge").count() == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=12) | st.text("aеéö\u0301ﬁ２　\u200bμmж…²", max_size=8))
+def test_first_step_loses_nothing(value):
+    assert K.inconsistent(value) == (K.consistent(value) != value or K.mixes_scripts(value))
+
+
+def test_units_keep_their_letters():
+    assert K.consistent("5 μm") == "5 μm" and K.consistent("5 µm") == "5 µm"
+
+
+def test_lookalikes_are_those_of_public_data(spark):
+    """Every pair of the table is one of the Unicode confusables, as the JVM's library has them."""
+    text = spark.sparkContext._jvm.com.ibm.icu.text
+    check = text.SpoofChecker.Builder().build()
+    # marks aside, and of one shape in either case for letters whose small form differs
+    base = lambda c: unicodedata.normalize("NFD", c)[0]
+    odd = {a for a, b in K.LOOKALIKES.items() if check.getSkeleton(base(a)) != check.getSkeleton(base(b))}
+    assert odd <= set("внктмγηωε"), odd  # small letters of the shape of capitals, and Greek italics
+
+
 def test_long_text(spark):
     df = spark.createDataFrame([(1, "é" * 300_000), (2, "é" * 300_000)], "i long, t string")
     assert [r.row_id for r in K.find_inconsistent(df, "i", "t", "t").collect()] == [2]
