@@ -18,7 +18,7 @@ import re
 from collections.abc import Iterator
 from json.decoder import scanstring
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -162,18 +162,28 @@ def shred(df: DataFrame, record: str, payload: str, lists: tuple[str, ...] = ())
     """The adjacency table of JSON payloads. ``lists``: labels under which a list of entries is due."""
     wanted = frozenset(lists)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for r, p in zip(b["record"], b["payload"]):
-                out.extend((r, *n) for n in nodes_of(p, wanted))
-                if len(out) > 20_000:
-                    yield pd.DataFrame(out, columns=NODES.names).astype({"parent": "Int64"})
-                    out = []
-            yield pd.DataFrame(out, columns=NODES.names).astype({"parent": "Int64"})
+            records, out = [], []
+            for r, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                made = nodes_of(p, wanted)
+                records += [r] * len(made)
+                out += made
+                if len(out) > 50_000:
+                    yield _batch(records, out)
+                    records, out = [], []
+            if out:
+                yield _batch(records, out)
 
     rows = df.select(F.col(record).cast("long").alias("record"), F.col(payload).alias("payload")).filter("record is not null and payload is not null")
-    return rows.mapInPandas(run, NODES)
+    return rows.mapInArrow(run, NODES)
+
+
+_ARROW = pa.schema([("record", pa.int64()), ("node", pa.int64()), ("parent", pa.int64()), ("label", pa.string()), ("ordinal", pa.int32()), ("kind", pa.string()), ("scalar", pa.string())])
+
+
+def _batch(records: list[int], nodes: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip([records, *zip(*nodes)], _ARROW.types)], schema=_ARROW)
 
 
 def unshred(nodes: list[tuple]) -> dict:
@@ -197,16 +207,16 @@ def unshred(nodes: list[tuple]) -> dict:
     return made[0]
 
 
-def entity(nodes: DataFrame, label: str, parents: DataFrame, fields: tuple[str, ...] = ()) -> DataFrame:
+def entity(nodes: DataFrame, label: str, parents: DataFrame, fields: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
     """Flat table of the entries under ``label`` of ``parents`` (record, node, path).
 
     Columns: record, node, parent, ordinal, path (positions from the outermost, joined by points), kind, scalar,
-    and for each field its scalar and ``<field>_kind``. Entries that are no objects have null fields.
+    and for each field its scalar and ``<field>_kind``; ``carry`` are columns taken over from the parents. Entries that are no objects have null fields.
     """
     own = nodes.filter(F.col("label") == label).select("record", "node", "parent", "ordinal", "kind", "scalar")
-    up = parents.select("record", F.col("node").alias("parent"), F.col("path").alias("up"))
+    up = parents.select("record", F.col("node").alias("parent"), F.col("path").alias("up"), *carry)
     path = F.when(F.col("up") == "", F.col("ordinal").cast("string")).otherwise(F.concat_ws(".", "up", "ordinal"))
-    out = own.join(up, ["record", "parent"]).select("record", "node", "parent", "ordinal", path.alias("path"), "kind", "scalar")
+    out = own.join(up, ["record", "parent"]).select("record", "node", "parent", "ordinal", path.alias("path"), "kind", "scalar", *carry)
     if fields:
         values = nodes.filter(F.col("label").isin(*fields) & ~F.col("kind").isin("object", "array"))
         picks = [a for f in fields for a in (F.min_by(F.when(F.col("label") == f, F.col("scalar")), F.when(F.col("label") == f, F.col("ordinal"))).alias(f), F.min_by(F.when(F.col("label") == f, F.col("kind")), F.when(F.col("label") == f, F.col("ordinal"))).alias(f"{f}_kind"))]
@@ -234,23 +244,29 @@ class DecisionTables:
 
     def __init__(self, df: DataFrame, record: str = "record_no", payload: str = "payload"):
         self.nodes = materialize(shred(df, record, payload, self.LISTS), "nodes")
-        root = self.nodes.filter("parent is null").select("record", "node", F.lit("").alias("path"))
-        rows = entity(self.nodes, "paragraphs", root, ("section", "text", "para_idx"))
-        number = paragraph_number(F.col("para_idx"), F.col("para_idx_kind"), F.col("ordinal"))
+        rows = self._paragraphs(("section", "text", "para_idx"))
         text = F.when(F.col("kind") == "string", F.col("scalar")).otherwise(F.col("text"))
-        self.paragraphs = rows.select("record", "node", "ordinal", "path", section_key(F.col("section")).alias("section"), text.alias("text"), number.alias("para_idx"))
+        self.paragraphs = rows.select("record", "node", "ordinal", "path", "section", text.alias("text"), "para_idx")
         self.notes = entity(self.nodes, "notes", self.paragraphs, ("label", "text"))
         self.refs = entity(self.nodes, "refs", self.notes, ("case_no",))
         holder = self.nodes.filter("label = 'court_assessment_references' and parent = 0 and kind = 'object'").select("record", "node", F.lit("").alias("path"))
         self.case_references = entity(self.nodes, "case_references", holder)
 
+    def _paragraphs(self, fields: tuple[str, ...]) -> DataFrame:
+        root = self.nodes.filter("parent is null").select("record", "node", F.lit("").alias("path"))
+        rows = entity(self.nodes, "paragraphs", root, fields)
+        number = paragraph_number(F.col("para_idx"), F.col("para_idx_kind"), F.col("ordinal"))
+        return rows.withColumn("section", section_key(F.col("section"))).withColumn("para_idx", number)
+
     def children(self) -> DataFrame:
         """(record_no, child, pos_path, section, para_idx) of all four tables."""
-        p = self.paragraphs.select("record", "node", "section", "para_idx")
-        of_note = self.notes.select("record", "node", "parent", "path").join(p.withColumnRenamed("node", "parent"), ["record", "parent"])
-        of_ref = self.refs.select("record", "parent", "path").join(of_note.select("record", F.col("node").alias("parent"), "section", "para_idx"), ["record", "parent"])
-        parts = [("paragraph", self.paragraphs), ("note", of_note), ("ref", of_ref)]
+        carry = ("section", "para_idx")
+        keys = ["record", "node", "path", *carry]
+        # each level is joined once, with what it takes from the level above
+        paragraphs = materialize(self._paragraphs(("section", "para_idx")).select(*keys), "paragraph-keys")
+        notes = materialize(entity(self.nodes, "notes", paragraphs, carry=carry).select(*keys), "note-keys")
+        refs = entity(self.nodes, "refs", notes, carry=carry)
         out = self.case_references.select("record", F.lit("case_reference").alias("child"), "path", F.lit("").alias("section"), F.lit(-1).alias("para_idx"))
-        for name, rows in parts:
-            out = out.unionByName(rows.select("record", F.lit(name).alias("child"), "path", "section", "para_idx"))
+        for name, rows in (("paragraph", paragraphs), ("note", notes), ("ref", refs)):
+            out = out.unionByName(rows.select("record", F.lit(name).alias("child"), "path", *carry))
         return out.select(F.col("record").alias("record_no"), "child", F.col("path").alias("pos_path"), "section", "para_idx").distinct()
