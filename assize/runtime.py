@@ -23,10 +23,9 @@ SPREAD_BYTES = 64 << 20
 BROADCAST_BYTES = 32 << 20
 
 
-def _bytes_of_files(spark: SparkSession, paths: list[str]) -> int:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    made = [jvm.org.apache.hadoop.fs.Path(p) for p in paths]
-    return sum(p.getFileSystem(conf).getContentSummary(p).getLength() for p in made)
+def _bytes_of_files(read: DataFrame) -> int:
+    """The size of the files that a plain read of a table covers, as its file index has it."""
+    return int(str(read._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -35,7 +34,7 @@ def spread(df: DataFrame) -> DataFrame:
     Larger inputs are never shuffled for it, however many cores there are; ``spark.sql.files.maxPartitionBytes`` decides on their tasks.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores or _bytes_of_files(df.sparkSession, df.inputFiles()) > SPREAD_BYTES:
+    if df.rdd.getNumPartitions() >= cores or _bytes_of_files(df) > SPREAD_BYTES:
         return df
     return df.repartition(cores)
 
@@ -81,14 +80,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
     This cuts the lineage and lets several consumers share one computation; the files outlive any executor.
     """
-    return _written(df, label)[0]
-
-
-def _written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _value_bytes(c: Column, kind: T.DataType) -> Column:
@@ -117,14 +112,12 @@ def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES, label: str =
 
     The side is written once, so that measuring does not compute it a second time; one whose compressed files are larger is not measured at all.
     """
-    side, path = _written(df, label)
-    small = _bytes_of_files(df.sparkSession, [path]) <= most and memory_bytes(side) <= most
-    return F.broadcast(side) if small else side
+    return hinted(materialize(df, label), most)
 
 
 def hinted(written: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """A table that was written with ``materialize``, with a broadcast hint if it takes at most ``most`` bytes in memory."""
-    small = _bytes_of_files(written.sparkSession, written.inputFiles()) <= most and memory_bytes(written) <= most
+    small = _bytes_of_files(written) <= most and memory_bytes(written) <= most
     return F.broadcast(written) if small else written
 
 
