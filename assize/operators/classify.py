@@ -3,6 +3,9 @@
 Everything is long-form rows (document, token, weight). The model has a row per token, with the token's weight for each label. It is broadcast
 if its bytes are few; beyond that it is joined on the token, where adaptive execution splits the rows of a hot token over several tasks. Dot products
 and norm of a document come out of one sum per document, built up before the shuffle. Tables with a row per label are broadcast: labels are named by hand.
+
+Character n-grams are some three for each character of text. They are counted within Arrow batches (``grams``), so that training shuffles sums per n-gram
+and label only, and scoring nothing; only a model that is too large to send to every executor is joined as above.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 
 from assize.functions import text as X
 from assize.functions.constants import MIN_LABELLED, SAMPLE_SIZE, THRESHOLDS
+from assize.operators import grams as G
 from assize.runtime import hinted, materialize
 
 TOKENIZERS = {"tfidf_centroid": X.class_words, "char_ngram_centroid": X.char_ngrams, "keyword_overlap": X.class_words}
@@ -107,24 +111,32 @@ def choose(scores: DataFrame, threshold: float, k: int = MAX_LABELS) -> DataFram
 
 @dataclass
 class Model:
-    """A trained model; its tables are written once and carry a broadcast hint if they are small."""
+    """A trained model; its tables are written once and carry a broadcast hint if they are small, but for n-grams."""
 
     method: str
     threshold: float
     idf: DataFrame
     vectors: DataFrame  # centroids or keyword profiles
-    tokens: DataFrame  # the same by token
+    tokens: DataFrame  # the same by token; for n-grams with their idf
     labels: dict[str, float]  # norm, or weight of the profile, by label
     examples: int
 
-    def scores(self, docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
+    def scores(self, docs: DataFrame, doc: str = "doc", text: str = "text", most: int = G.MODEL_BYTES) -> DataFrame:
+        """(doc, label, score) of all pairs with a token in common. For n-grams ``doc`` is unique, and a model of at most ``most`` bytes is sent to every executor."""
         if not self.labels:
             return docs.sparkSession.createDataFrame([], "doc bigint, label string, score double")
         if self.method == "keyword_overlap":
             own = docs.select(F.col(doc).alias("doc"), F.explode(F.array_distinct(TOKENIZERS[self.method](F.col(text)))).alias("token"))
             return keyword_scores(own, self.tokens, self.labels)
-        tf = term_frequencies(docs, TOKENIZERS[self.method], doc, text)
-        return cosines(weights(tf, self.idf), self.tokens, self.labels)
+        if self.method != "char_ngram_centroid":
+            tf = term_frequencies(docs, TOKENIZERS[self.method], doc, text)
+        elif G.model_bytes(self.tokens.count(), len(self.labels)) <= most:
+            norms = {x: self.labels[x] for x in sorted(self.labels)}
+            each = [F.coalesce(F.try_element_at("per_label", F.lit(x)), F.lit(0.0)).alias(f"w{i}") for i, x in enumerate(norms)]
+            return G.scores(docs, self.tokens.select("token", "idf", *each).toArrow(), norms, doc, text)
+        else:
+            tf = G.frequencies(docs, doc, text)
+        return cosines(weights(tf, self.idf), self.tokens.select("token", "per_label"), self.labels)
 
     def predict(self, docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
         return choose(self.scores(docs, doc, text), self.threshold)
@@ -137,13 +149,38 @@ def sane_threshold(value: float | None, default: float = THRESHOLDS["tfidf_centr
     return min(0.8, max(0.05, value))
 
 
-def train(docs: DataFrame, labels: DataFrame, method: str = "tfidf_centroid", threshold: float | None = None, doc: str = "doc", text: str = "text") -> Model:
-    """A model of the labelled documents; ``labels``: (doc, label). Needs at least MIN_LABELLED of them."""
-    labels = labels.filter("label is not null and label <> ''").distinct()
-    training = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).join(labels.select("doc").distinct(), "doc", "left_semi")
-    n = training.count()
+def _enough(n: int) -> None:
     if n < MIN_LABELLED:
         raise ValueError(f"{n} labelled documents; {MIN_LABELLED} are needed")
+
+
+def _train_grams(training: DataFrame, threshold: float | None) -> Model:
+    """``training``: (text, labels), a row per document, each with a label at least."""
+    method = "char_ngram_centroid"
+    sums = materialize(G.label_sums(training), "gram-sums")
+    sizes = {r.label: r for r in sums.filter("token = ''").collect()}  # a row per label
+    _enough(n := sum(r.docs for r in sizes.values()))
+    size = F.create_map(*[F.lit(x) for label, r in sizes.items() for x in (label, r.tf)])
+    rows = sums.filter("token <> ''").groupBy("token").agg((F.log(F.lit(n + 1) / (F.sum("docs") + 1)) + 1).alias("idf"), F.map_from_entries(F.collect_list(F.struct("label", "tf"))).alias("sums"))
+    made = materialize(rows.select("token", "idf", F.transform_values("sums", lambda k, v: v * F.col("idf") / F.element_at(size, k)).alias("per_label")), "gram-model")
+    vectors = made.select("token", F.explode("per_label").alias("label", "w")).select("label", "token", "w")
+    # not hinted: the tables are joined only where the model is too large to be sent
+    return Model(method, sane_threshold(threshold, THRESHOLDS[method]), made.select("token", "idf"), vectors, made, {r.label: r.norm for r in norms(vectors, "label").collect()}, n)
+
+
+def train(docs: DataFrame, labels: DataFrame | str, method: str = "tfidf_centroid", threshold: float | None = None, doc: str = "doc", text: str = "text") -> Model:
+    """A model of the labelled documents; ``labels``: (doc, label), or the column of ``docs`` that holds the label. Needs at least MIN_LABELLED of them."""
+    if isinstance(labels, str):
+        docs = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"), F.col(labels).alias("label")).filter("label is not null and label <> ''")
+        if method == "char_ngram_centroid":
+            return _train_grams(docs.select("text", F.array("label").alias("labels")), threshold)
+        labels, doc, text = docs.select("doc", "label"), "doc", "text"
+    labels = labels.filter("label is not null and label <> ''").distinct()
+    if method == "char_ngram_centroid":
+        own = labels.groupBy("doc").agg(F.collect_list("label").alias("labels"))
+        return _train_grams(docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).join(own, "doc").select("text", "labels"), threshold)
+    training = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).join(labels.select("doc").distinct(), "doc", "left_semi")
+    _enough(n := training.count())
     tf = materialize(term_frequencies(training, TOKENIZERS[method]), "tf")
     idf = hinted(materialize(inverse_document_frequencies(tf, n), "idf"))
     profile = method == "keyword_overlap"

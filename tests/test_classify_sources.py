@@ -4,12 +4,14 @@ import json
 import math
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from assize import runtime as R
 from assize.functions import text as X
 from assize.operators import classify as C
+from assize.operators import grams as G
 from assize.sources import jsonl, sinks
 from assize.streaming import ingest
 
@@ -197,3 +199,79 @@ def test_paragraphs_of_any_shape(spark, tmp_path):
     rows, _ = jsonl.read_tolerant(spark, str(tmp_path))
     got = [None if r.paragraphs is None else [p and p.text for p in r.paragraphs] for r in rows.orderBy("line_order").collect()]
     assert got == [["a", None, "bare", "5", '["x"]'], ["b"], ["c"], ["d"], None, []]
+
+
+GRAM_TEXTS = [
+    (1, "The court holds, the court finds.", ["x"]), (2, "A b c - d", ["x", "y"]), (3, "naïve Café  No.\u000b12", ["y"]), (4, "", ["y"]), (5, None, ["x"]),
+    (6, "§§ !", ["y"]), (7, "ab\r\n\tab ab", ["x"]), (8, "the court held otherwise", []), (9, "q", []), (10, "zzz unseen 777", []), (11, "İstanbul Kelvin", ["y"]),
+]
+
+
+@pytest.mark.parametrize("chunk", [1, 40, 1 << 20])
+def test_grams_in_batches(spark, monkeypatch, chunk):
+    """Batches cut anywhere, within a text too, give the n-grams of the column expression."""
+    docs = spark.createDataFrame(GRAM_TEXTS, "doc long, text string, labels array<string>")
+    want = {(r.doc, r.token): (r.n, pytest.approx(r.tf)) for r in C.term_frequencies(docs, X.char_ngrams).collect()}
+    monkeypatch.setattr(G, "CHUNK", chunk)
+    rows = pa.RecordBatch.from_pandas(docs.select("doc", F.lower("text").alias("text")).toPandas())
+    got = {}
+    for lo, code, text, n, total in G._counted(rows["text"].cast(pa.string()).fill_null("")):
+        for t, i, k in zip(G.decode(code).to_pylist(), text, n):
+            got[rows["doc"][lo + int(i)].as_py(), t] = (k, k / total[i])
+        assert (G.encode(G.decode(code)) == code).all()
+    assert got == want
+    assert {(r.doc, r.token): (r.n, r.tf) for r in G.frequencies(docs).collect()} == want
+
+
+@pytest.mark.parametrize("held", [1, 50, 1 << 20])
+def test_gram_sums_handed_on_early(monkeypatch, held):
+    """Sums per label add up, however early a partition hands them on."""
+    batch = pa.RecordBatch.from_pydict({"text": [t and t.lower() for _, t, _ in GRAM_TEXTS], "labels": pa.array([k for *_, k in GRAM_TEXTS], pa.list_(pa.string()))})
+    monkeypatch.setattr(G, "HELD", held)
+    monkeypatch.setattr(G, "CHUNK", 40)
+    got = Counter()
+    for made in G._label_sums(iter([batch, batch.slice(0, 0), batch])):
+        for r in made.to_pylist():
+            got.update({("docs", r["token"]): r["docs"], ("tf", r["token"], r["label"]): r["tf"]})
+    assert got["docs", ""] == 16 and got["tf", "", "x"] == 8 and got["tf", "", "y"] == 10
+    assert got["docs", "cou"] == 2 and got["docs", " ab"] == 2
+
+
+def _gram_model_by_rows(docs, labels):
+    """(vectors, scores) by the definition: a row per document and n-gram, joined with the labels."""
+    tf = C.term_frequencies(docs.join(labels.select("doc").distinct(), "doc"), X.char_ngrams)
+    idf = C.inverse_document_frequencies(tf, labels.select("doc").distinct().count())
+    vectors = C.centroids(C.weights(tf, idf), labels)
+    norms = {r.label: r.norm for r in C.norms(vectors, "label").collect()}
+    scores = C.cosines(C.weights(C.term_frequencies(docs, X.char_ngrams), idf), C.by_token(vectors), norms)
+    return {(r.label, r.token): r.w for r in vectors.collect()}, {(r.doc, r.label): r.score for r in scores.collect()}
+
+
+def test_gram_model_without_a_row_per_gram(spark):
+    """Training shuffles sums and scoring nothing: no explode, no join and no shuffle in the plan of the scores, and the same model and scores as by rows."""
+    docs = spark.createDataFrame(GRAM_TEXTS, "doc long, text string, labels array<string>")
+    labels = docs.select("doc", F.explode("labels").alias("label"))
+    vectors, want = _gram_model_by_rows(docs, labels)
+    model = C.train(docs, labels, "char_ngram_centroid")
+    assert {(r.label, r.token): r.w for r in model.vectors.collect()} == pytest.approx(vectors) and model.examples == 8
+    scores = model.scores(docs)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and not any(x in plan for x in ("Generate", "Join", "Exchange", "Aggregate"))
+    assert {(r.doc, r.label): r.score for r in scores.collect()} == pytest.approx(want)
+    assert {(r.doc, r.label): r.score for r in model.scores(docs, most=0).collect()} == pytest.approx(want)  # joined where the model is too large to be sent
+    assert not {9, 10} & {d for d, _ in want}
+
+
+def test_grams_labels_in_a_column(spark, tmp_path):
+    docs = spark.createDataFrame(GRAM_TEXTS, "doc long, text string, labels array<string>").withColumn("label", F.get("labels", F.lit(0)))
+    by_column, by_frame = C.train(docs, "label", "char_ngram_centroid"), C.train(docs, docs.select("doc", "label"), "char_ngram_centroid")
+    rows = lambda m: {(r.label, r.token): r.w for r in m.vectors.collect()}
+    assert rows(by_column) == pytest.approx(rows(by_frame)) and by_column.examples == by_frame.examples == 8
+    words = C.train(docs, "label")
+    assert rows(words) == pytest.approx(rows(C.train(docs, docs.select("doc", "label"))))
+    with pytest.raises(ValueError):
+        C.train(docs.filter("doc < 6"), "label", "char_ngram_centroid")
+    C.save_model(by_column, str(tmp_path))
+    saved = {"method": by_column.method, "threshold": by_column.threshold, "labels": by_column.labels, "trainingSize": by_column.examples}
+    found = lambda m: {(r.doc, r.label): r.score for r in m.scores(docs).collect()}
+    assert found(C.load_model(spark, str(tmp_path), saved)) == pytest.approx(found(by_column))
